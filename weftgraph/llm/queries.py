@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw
+from . import ctw, simhash
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op1_lm_scoring(spark, sf_dir):
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
 ORACLES: dict[str, str] = {}

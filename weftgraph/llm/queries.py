@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, simhash
+from . import ctw, packing, simhash, tokenbin
 from .common import table
 
 
@@ -16,5 +16,13 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_ids(spark, sf_dir):
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
 ORACLES: dict[str, str] = {}

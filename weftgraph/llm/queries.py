@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, packing, simhash, tokenbin
+from . import ctw, decontam, langcrf, packing, pii, riskrules, simhash, tokenbin, unitdedup, warc
 from .common import table
 
 
@@ -24,5 +24,29 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark, sf_dir):
+    return langcrf.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    return unitdedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return riskrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
 ORACLES: dict[str, str] = {}

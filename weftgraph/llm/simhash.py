@@ -1,8 +1,8 @@
 """SimHash near-duplicates over deletion-variant signatures.
 
-A 64-bit fingerprint is cut into 2 segments of 32 bits, fewer than the usual 3 for two
-differing bits: of fingerprints that differ in at most 2 bits, one segment differs in
-at most 1.  Each segment is indexed by its 32 variants with one bit deleted; equal
+A 64-bit fingerprint is cut into 2 segments of 32 bits, fewer than the 3 that exact segments
+would take for two differing bits: of fingerprints that differ in at most 2 (even 3)
+bits, one segment differs in at most 1.  Each segment is indexed by its 32 variants with one bit deleted; equal
 variants meet in an equality join and the whole fingerprints are verified there.
 Fingerprints are made distinct first, so copies cost one row, whatever their number.
 """
@@ -12,14 +12,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, ship, text_bytes
 
 SHINGLE, BITS = 3, 2
 CHUNK = 4 << 20
-SMALL, PIECES = 64, ((0, 11), (11, 11), (22, 10))  # see links()
+SMALL = 64  # see links()
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -59,16 +59,20 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in at most `bits` (2 at most) bits.
+    """Pairs a < b of distinct fingerprints that differ in at most `bits` (3 at most) bits.
 
     Keys of over SMALL fingerprints are refined: of two members of a bucket the other
-    segment differs in at most 2 bits, so one of its 3 pieces is equal; members meet only
-    under an equal piece.  That is exact too, and keeps large buckets from pairing whole.
+    segment differs in at most `bits` bits, so of its bits + 1 pieces one is equal; members
+    meet only under an equal piece.  That is exact too, and keeps large buckets from
+    pairing whole.
     """
+    if not 0 <= bits <= 3:
+        raise ValueError("two segments serve up to 3 differing bits")
+    bounds = [32 * i // (bits + 1) for i in range(bits + 2)]
     keyed = variants(fps)
     hot = keyed.groupBy("key").count().where(F.col("count") > SMALL).select("key", F.lit(True).alias("hot"))
     other = F.when(F.col("key").bitwiseAND(63) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    cutting = F.array(*[F.shiftright(other, at).bitwiseAND((1 << n) - 1).bitwiseOR(F.lit(k << 12)) for k, (at, n) in enumerate(PIECES)])
+    cutting = F.array(*[F.shiftright(other, at).bitwiseAND((1 << n) - 1).bitwiseOR(F.lit(k << 33)) for k, (at, n) in enumerate((a, b - a) for a, b in zip(bounds, bounds[1:]))])
     both = keyed.join(hot, "key", "left").select("key", "fp", F.explode(F.when(F.col("hot"), cutting).otherwise(F.array(F.lit(-1).cast("long")))).alias("piece"))
     a, b = both.select("key", "piece", F.col("fp").alias("a")), both.select("key", "piece", F.col("fp").alias("b"))
     return a.join(b, ["key", "piece"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
@@ -115,3 +119,16 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     linked = roots.join(ids, "root").join(degree, "fp").select("fp", "component_id", "n_links")
     named = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id, all columns kept.
+
+    Of rows that repeat this doc_id one stays; rows without a doc_id can't be named by a
+    component and stay all.
+    """
+    near = near_duplicates(docs, bits, shingle)
+    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    one = named.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_rn = 1").drop("_rn")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

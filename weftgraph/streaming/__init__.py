@@ -1,0 +1 @@
+"""Chunk streams as Structured Streaming: running checksums, status, fan-out."""

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _table() -> np.ndarray:
@@ -26,7 +27,7 @@ def crc32c(data: bytes, crc: int = 0) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else crc32c(bytes(v)))
 
@@ -43,7 +44,7 @@ def running_crc(chunks: DataFrame, by: str, seq: str, chunk: str) -> DataFrame:
     """
     import zlib
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         crc = 0
         for b in pdf.sort_values(seq)[chunk]:
             crc = zlib.crc32(bytes(b), crc)

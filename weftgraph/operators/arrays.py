@@ -18,7 +18,7 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.col(name).cast("timestamp").cast("double")
     return F.col(name).cast("double")
 
@@ -141,4 +141,5 @@ def random_array(spark, size: int, low: int, high: int, integer: bool = True, se
 
 def list_thrash(spark, size: int, seed: int = 7) -> DataFrame:
     """`size` random numbers, `size` times: a load for benchmarks; rows and their sum."""
-    return spark.range(size).crossJoin(F.broadcast(spark.range(size).select(F.col("id").alias("j")))).agg(F.count("*").alias("n"), F.sum(F.rand(seed)).alias("total"))
+    draws = spark.range(size * size).select(F.rand(seed).alias("r"))
+    return draws.agg(F.count("*").alias("n"), F.sum("r").alias("total"))

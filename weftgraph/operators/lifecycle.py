@@ -56,7 +56,7 @@ def replicate_on_completion(data: DataFrame, free: int) -> DataFrame:
 def migrate(data: DataFrame, accesses: DataFrame, now: Column, idle: float = IDLE_SECONDS, key: str = "oid") -> DataFrame:
     """Data idle for over `idle` seconds, to be moved one tier down."""
     last = last_access(accesses, key)
-    return data.join(last, key, "left").where(F.coalesce(now.cast("double") - F.col("last_access").cast("double") > idle, F.lit(True))).select(key)
+    return data.join(last, key, "left").where(F.coalesce(now.cast("double") - F.col("last_access").cast("timestamp").cast("double") > idle, F.lit(True))).select(key)
 
 
 def last_access(accesses: DataFrame, key: str = "oid", ts: str = "ts") -> DataFrame:
@@ -81,5 +81,5 @@ class Registry:
         return Registry(self.drops.withColumn("phase", F.when(F.col("oid") == oid, F.lit(phase)).otherwise(F.col("phase"))), self.instances, self.accesses)
 
     def last_access(self, oid: str) -> float:
-        row = self.accesses.where(F.col("oid") == oid).agg(F.max("ts").cast("double").alias("t")).first()
+        row = self.accesses.where(F.col("oid") == oid).agg(F.max("ts").cast("timestamp").cast("double").alias("t")).first()
         return -1 if row["t"] is None else row["t"]

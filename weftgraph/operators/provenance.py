@@ -12,6 +12,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import ReproMode
 from ..shared import cut, ship
@@ -35,12 +36,12 @@ def merkle_of(values: list) -> str:
     return merkle_root([sha3("\x00" + str(v)) for v in values])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha3_hex(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else sha3(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merkle_hex(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else merkle_of(list(v)))
 

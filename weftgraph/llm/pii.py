@@ -148,7 +148,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Base spans of two kinds that overlap become one stretch, named by the earlier.
     """
-    marked = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])  # no name in it clashes
+    marked = docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     marked = marked.withColumn("k", F.xxhash64("doc_id", "_t")).withColumn("base", base_spans(F.col("_t")))
     full = with_terms(marked, docs).withColumn("_all", F.sort_array(F.concat("base", "terms")))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["o"] + 1)), F.lit("]"))
@@ -157,8 +159,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, x["s"] - a["at"]), tag(x))).otherwise(a["out"]).alias("out"),
     )
     clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, F.length("_t"))))
-    text = F.when(F.size("_all") > 0, clean).otherwise(F.col("text"))
-    out = full.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    new = {"text": F.when(F.size("_all") > 0, clean).otherwise(F.col("row.text"))}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.size("_all") > 0, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))
+    return full.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])

@@ -128,7 +128,7 @@ def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     component and stay all.
     """
     near = near_duplicates(docs, bits, shingle)
-    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    one = named.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_rn = 1").drop("_rn")
+    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    one = named.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__rn = 1").drop("__rn")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

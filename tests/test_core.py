@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.functions import checksums, scalars
+from weftgraph.functions import apps, checksums, scalars
 from weftgraph.operators import arrays, gating, graph, lifecycle, provenance, relational
 from weftgraph.plans import delayed, partition, prepare, session, unroll
 from weftgraph.sources import codecs, stores
@@ -217,3 +217,40 @@ def test_stream_crc(spark, tmp_path):
     q = chunks.running_crc(stream).writeStream.format("memory").queryName("crc").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from crc").collect()] == [("a", 2, zlib.crc32(b"ab"))]
+
+
+def test_apps(spark, tmp_path):
+    def f(a, b=2, *rest, c=3, **more):
+        return a, b, rest, c, more
+
+    assert apps.call(f, {"a": 1, "b": None}, {"b": 0, "c": 0, "x": 9, "rest": (5,)}) == (1, 0, (5,), 0, {"x": 9})
+    with pytest.raises(TypeError):
+        apps.call(f)
+    assert apps.lookup("math.sqrt")(4.0) == 2 and apps.lookup("len")([1]) == 1
+    assert apps.call(apps.REGISTRY["create_range"].function, {}, {"high": 3}) == [0, 1, 2] and apps.sleep("x") == 0
+    df = spark.createDataFrame([("a b",), ("c",)], "value string")
+    assert [r["output"] for r in apps.run_command(df, "echo -n {value}", "s", "/").collect()] == ["a b", "c"]
+    assert [r[0] for r in df.select(apps.apply_column("builtins.len", "int", "value")).collect()] == [3, 1]
+
+
+def test_gather_sequence_and_services(spark):
+    pairs = spark.createDataFrame([(i, i // 2) for i in range(5)], "src_idx long, dst_idx long")
+    assert [r["waits_for"] for r in unroll.sequence_gathers(pairs, 2).orderBy("src_idx").collect()] == [None, None, 0, 0, 1]
+    n = unroll.Node
+    g = unroll.LogicalGraph([n("s", "svc", "Service"), n("a", "app", "PythonApp"), n("b", "out", "File", None, "data")], [unroll.Link("s", "a"), unroll.Link("a", "b")])
+    assert [x.src for x in unroll.without_services(g)] == ["a"]
+
+
+def test_command_line(tmp_path, capsys, spark):
+    import json
+
+    from weftgraph.__main__ import main
+
+    graph_ = {"nodeDataArray": [{"id": "x", "name": "a", "category": "PythonApp"}, {"id": "y", "name": "d", "category": "File", "categoryType": "Data"}], "linkDataArray": [{"from": "x", "to": "y"}]}
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(graph_).replace('"a"', '"~who"'))
+    main(["fill", str(path), "-p", "who=me"])
+    assert '"me"' in capsys.readouterr().out
+    main(["map", str(path), "h0", "h1"])
+    out = json.loads(capsys.readouterr().out)
+    assert len(out["nodes"]) == 2 and len(out["edges"]) == 1 and {p["node"] for p in out["parts"]} == {"h1"}

@@ -326,3 +326,40 @@ def lockstep(a: DataFrame, b: DataFrame, iteration: str = "iter", on: tuple = ()
 
 def substitute_mkn(text: str, m: int, k: int, n: int) -> str:
     return re.sub(r"%([mkn])", lambda x: str({"m": m, "k": k, "n": n}[x[1]]), text)
+
+
+def sequence_gathers(pairs: DataFrame, width: int) -> DataFrame:
+    """(gather, waits_for): gather i opens the next window of `width` sources once it is done,
+    so a source of window i + 1 waits for gather i; the first window waits for nothing.
+    pairs(src_idx, dst_idx) as of edge_pairs()."""
+    window = F.floor(F.col("src_idx") / width).cast("long")
+    return pairs.select("src_idx", window.alias("gather"), F.when(window > 0, window - 1).alias("waits_for"))
+
+
+def synthesised(graph: LogicalGraph) -> list[Node]:
+    """Drops that a construct brings with it: a GroupBy and a Gather each a waiting
+    application and the data that it hands on."""
+    out = []
+    for n in graph.nodes.values():
+        if n.category in ("GroupBy", "Gather"):
+            kind = "grp-data" if n.category == "GroupBy" else "gather-data"
+            out += [Node(f"{n.id}-app", f"{n.name} wait", "SleepApp", n.id), Node(f"{n.id}-{kind}", kind, "Memory", n.id, "data")]
+    return out
+
+
+def without_services(graph: LogicalGraph) -> list[Link]:
+    """Links that stay: those of a Service are ignored, of which only the input application
+    is kept."""
+    return [x for x in graph.links if "Service" not in (graph.nodes[x.src].category, graph.nodes[x.dst].category)]
+
+
+def split_construct(construct: Node, input_app: str | None, output_app: str | None) -> tuple[list[Node], list[Link]]:
+    """A construct with applications of its own as a plain group and application nodes:
+    the input application before the group, the output application after it."""
+    group = Node(construct.id, construct.name, construct.category, construct.parent, construct.kind, dict(construct.fields))
+    nodes, links = [group], []
+    if input_app:
+        nodes.append(Node(f"{construct.id}-in", input_app, "PythonApp", construct.parent))
+    if output_app:
+        nodes.append(Node(f"{construct.id}-out", output_app, "PythonApp", construct.id if construct.category == "Gather" else construct.parent))
+    return nodes, links

@@ -34,14 +34,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or an own one if unset."""
+    """The folder all machines share: spark.checkpoint.dir.  Where that is unset, one below
+    the warehouse, or in a single process, as in tests, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _own_root:
-        _own_root[app] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="weftgraph-"))
-        spark.sparkContext.setCheckpointDir(_own_root[app])
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        _own_root[app] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="weftgraph-")) if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return _own_root[app]
 
 

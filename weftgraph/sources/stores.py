@@ -113,6 +113,17 @@ def copy(df: DataFrame, *paths: str, kind: str = "parquet") -> None:
         write_file(df, p, kind)
 
 
+def compressed(df: DataFrame, path: str, codec: str = "gzip") -> str:
+    """Write rows as a compressed stream of JSON lines."""
+    df.write.mode("overwrite").option("compression", codec).json(path)
+    return path
+
+
+def json_list(df: DataFrame) -> DataFrame:
+    """Rows as JSON texts, to be streamed as a list."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def listen(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Lines that a TCP client sends."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()

@@ -1,25 +1,19 @@
-"""Shared helpers: text conventions, shared storage, shipping code to workers."""
+"""Shared helpers: text conventions, batches, counts."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, shared_path, shared_root, ship  # noqa: F401
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_shipped: set[str] = set()
-_own_root: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,52 +33,6 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application.
-
-    Workers on other machines need not have the package installed.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(os.path.realpath(tempfile.mkdtemp()), "weftgraph_code.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    path = os.path.join(folder, n)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    sc.addPyFile(out)
-    _shipped.add(sc.applicationId)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or an own one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="weftgraph-"))
-        spark.sparkContext.setCheckpointDir(_own_root[app])
-    return _own_root[app]
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/weftgraph/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that
-    outlive any executor, and later scans prune columns."""
-    spark = df.sparkSession
-    path = shared_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_uid() -> int:
     """The first of 2**33 row ids that belong to this task's partition."""
     ctx = TaskContext.get()

@@ -88,16 +88,13 @@ def log_tail(n: Column, k: Column, alpha: float) -> Column:
     return F.when(k > n * alpha, F.lit(0.0)).otherwise(F.aggregate(upto, F.struct(first.alias("term"), first.alias("total")), step, lambda a: a["total"]))
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
+def cutoffs(found: DataFrame, labels: DataFrame, strata: int, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """(stratum, one column for each rule): the strictest cutoff that passes, or null."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
     held = found.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     tests = [(m, c) for m, cs in GRID.items() for c in cs]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(m) > c).cast("long")).alias(f"k{i}") for i, (m, c) in enumerate(tests)])
-    strata = found.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    counts = counts.join(F.broadcast(strata))  # one row
-    alpha = limit / len(GRID)
-    line = F.log(F.lit(delta) / len(GRID) / F.col("strata"))
+    alpha, line = limit / len(GRID), math.log(delta / len(GRID) / max(strata, 1))
     passed = [F.when(log_tail(F.col("n"), F.col(f"k{i}"), alpha) <= line, F.lit(c)) for i, (_, c) in enumerate(tests)]
     return counts.select("stratum", *[F.array_min(F.array(*[passed[i] for i, (x, _) in enumerate(tests) if x == m])).alias(f"cut_{m}") for m in GRID])
 
@@ -112,8 +109,9 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float
     no rows.
     """
     found = cut(measured(docs), "measured")
-    limits = cutoffs(found, labels, limit, delta)
-    if found.select("stratum").distinct().count() <= FEW_STRATA:
+    strata = found.select("stratum").distinct().count()
+    limits = cutoffs(found, labels, strata, limit, delta)
+    if strata <= FEW_STRATA:
         limits = F.broadcast(limits)
     reject = F.lit(False)
     for m in GRID:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, words
 
-LIMIT, DELTA = 0.03, 0.05
+LIMIT, DELTA = 0.02, 0.05
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"

@@ -20,5 +20,9 @@ def write_whole(folder: str, name: str, data: bytes) -> str:
     hidden = f"{path}/_{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(hidden) as out:
         out.write(data)
-    fs.move(hidden, f"{path}/{name}")
+    try:
+        fs.move(hidden, f"{path}/{name}")
+    except OSError:  # stores that do not rename over a file
+        fs.delete_file(f"{path}/{name}")
+        fs.move(hidden, f"{path}/{name}")
     return f"{folder}/{name}"

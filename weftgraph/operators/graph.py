@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +82,17 @@ def _relax(nodes: DataFrame, edges: DataFrame, own: bool, rounds: int = 10_000)
     """Greatest start value of every node: 0 at roots, else the maximum over producers of
     theirs plus their own weight plus the edge's.  Only nodes whose value grew are joined
     again, so a level of the graph is one small round."""
-    w = nodes.select("oid", "weight")
-    value = cut(w.withColumn("stt", F.lit(0).cast("long")), "relax")
-    front = value
+    front = cut(nodes.select("oid", "weight", F.lit(0).cast("long").alias("stt")), "relax")
+    grown = [front]
     for _ in range(rounds):
         push = edges.join(front.select(F.col("oid").alias("src"), F.col("stt"), F.col("weight").alias("nw")), "src").groupBy(F.col("dst").alias("oid")).agg(F.max(F.col("stt") + F.col("weight") + (F.col("nw") if own else F.lit(0))).alias("new"))
+        value = reduce(DataFrame.unionAll, grown).groupBy("oid").agg(F.max("weight").alias("weight"), F.max("stt").alias("stt"))
         front = cut(value.join(push, "oid").where(F.col("new") > F.col("stt")).select("oid", "weight", F.col("new").alias("stt")), "relax")
         if front.isEmpty():
             return value
-        value = cut(value.join(front.select("oid", F.col("stt").alias("grown")), "oid", "left").select("oid", "weight", F.coalesce("grown", "stt").alias("stt")), "relax")
+        grown.append(front)
+        if len(grown) > 16:
+            grown = [cut(reduce(DataFrame.unionAll, grown).groupBy("oid").agg(F.max("weight").alias("weight"), F.max("stt").alias("stt")), "relax")]
     raise ValueError("not a DAG")
 
 

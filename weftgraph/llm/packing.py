@@ -36,25 +36,27 @@ def balance(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quad
         used[s] += size
         cost[s] += linear * size + quadratic * size * size
 
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        start, left = 0, sizes[item]
-        while left:
-            while roomy and -roomy[0][0] >= left:
-                s = heapq.heappop(roomy)[1]
-                heapq.heappush(cheap, (cost[s], s))
-            while cheap and length - used[cheap[0][1]] < left:
-                s = heapq.heappop(cheap)[1]
-                if used[s] < length:
-                    heapq.heappush(roomy, (used[s] - length, s))
-            if cheap:
-                s, size = heapq.heappop(cheap)[1], left
-            else:
-                room, s = heapq.heappop(roomy)
-                size = -room
-            put(item, start, size, s)
-            start, left = start + size, left - size
+    todo = [(-size, item, 0) for item, size in enumerate(sizes) if size]
+    heapq.heapify(todo)
+    while todo:  # sizes never rise, so a sequence set aside returns once at most between uses
+        left, item, start = heapq.heappop(todo)
+        left = -left
+        while roomy and -roomy[0][0] >= left:
+            s = heapq.heappop(roomy)[1]
+            heapq.heappush(cheap, (cost[s], s))
+        while cheap and length - used[cheap[0][1]] < left:
+            s = heapq.heappop(cheap)[1]
             if used[s] < length:
-                heapq.heappush(cheap, (cost[s], s))
+                heapq.heappush(roomy, (used[s] - length, s))
+        if cheap:
+            s = heapq.heappop(cheap)[1]
+            put(item, start, left, s)
+        else:  # cut at the largest room; the rest waits for its turn by size
+            room, s = heapq.heappop(roomy)
+            put(item, start, -room, s)
+            heapq.heappush(todo, (-(left + room), item, start - room))
+        if used[s] < length:
+            heapq.heappush(cheap, (cost[s], s))
     return out
 
 

@@ -2,8 +2,8 @@
 
 A byte-level BPE splits a text before every space that precedes anything but white
 space, so such a text is the concatenation of its space-separated pieces' ids.  New
-pieces of a batch are joined and encoded in one call; a token that starts with a space
-begins the next piece.  Pieces met are remembered in a table of bounded size.  A text
+pieces of a batch are joined and encoded many in a call; a token that starts with a space
+begins the next piece.  Pieces met are remembered in two generations of bounded size.  A text
 with a space before white space or at its end is encoded whole.  Ids are the same.
 """
 
@@ -16,7 +16,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 250_000
+KEEP = 300_000
+GROUP = 64  # pieces encoded in one call
+#: Punctuation that after a letter makes a unit of its own to the end of a piece.
+TAIL = ".,!?;:%&#*$|"
 _ODD = re.compile(r" (?=\s|$)")
 _encoders: dict[str, Encoder] = {}
 
@@ -39,19 +42,47 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(" " + p for p in new)], add_special_tokens=False)[0].ids, self.dtype)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) == len(new) and starts[0] == 0:
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * width).tolist(), len(raw)]
-            self.known.update(zip(new, (raw[a:b] for a, b in zip((starts * width).tolist(), ends))))
-        else:  # a piece that holds such a token inside
-            self.known.update(zip(new, self.whole([" " + p for p in new])))
+        """Ids of pieces that are not known: those of the words that they end in
+        punctuation after, and of that punctuation; the words are encoded many in a call."""
+        ends: dict[str, tuple[str, str]] = {}
+        words: set[str] = set()
+        for p in new:
+            stem = p.rstrip(TAIL)
+            if stem and len(stem) < len(p) and stem[-1].isalpha():
+                ends[p] = stem, p[len(stem) :]
+                if stem not in self.known:
+                    words.add(stem)
+            else:
+                words.add(p)
+        self.learn_words(sorted(words))
+        if missing := {t for _, t in ends.values()}.difference(self.tails):
+            if len(self.tails) + len(missing) > KEEP:
+                self.tails = {}
+                missing = {t for _, t in ends.values()}
+            missing = sorted(missing)
+            self.tails.update(zip(missing, self.whole(missing)))
+        known, tails = self.known, self.tails
+        known.update((p, known[stem] + tails[t]) for p, (stem, t) in ends.items())
+
+    def learn_words(self, new: list[str]) -> None:
+        groups = [new[a : a + GROUP] for a in range(0, len(new), GROUP)]
+        coded = self.tokenizer.encode_batch_fast(["".join(" " + p for p in g) for g in groups], add_special_tokens=False)
+        width = self.dtype.itemsize
+        for g, e in zip(groups, coded):
+            ids = np.array(e.ids, self.dtype)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(g) and starts[0] == 0:
+                raw, at = ids.tobytes(), (starts * width).tolist()
+                self.known.update(zip(g, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)]))))
+            else:  # a piece that holds such a token inside
+                self.known.update(zip(g, self.whole([" " + p for p in g])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned integers of self.dtype."""
@@ -60,13 +91,20 @@ class Encoder:
         met: set[str] = set()
         for p in split:
             met.update(p[1:])
-        if new := [p for p in met if p not in self.known]:
-            if len(self.known) + len(new) > KEEP:
-                self.known = {p: self.known[p] for p in met if p in self.known}
-            self.learn(new)
+        older = self.older
+        new = []
+        for p in met.difference(self.known):
+            if (ids := older.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        self.learn(new)
         heads = iter(self.whole([t if o else p[0] for t, o, p in zip(texts, odd, split)]))
         get = self.known.__getitem__
-        return [next(heads) + b"".join(map(get, p[1:])) for p in split]
+        out = [next(heads) + b"".join(map(get, p[1:])) for p in split]
+        if len(self.known) > KEEP:  # the younger of two generations becomes the older
+            self.older, self.known = self.known, {}
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -43,7 +43,7 @@ def chunks(batches, byte_limit: int):
     """Split Arrow batches with columns doc_id, text into (ids, utf-8 texts) lists of
     at most byte_limit bytes (or one text); a null text counts as empty."""
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             t = b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")
             if ids and size + len(t) > byte_limit:

@@ -184,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 
 def _clean(batches, shared):
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
         hit = {i for out in _search([rows], shared) for i in out.column("doc_id").to_pylist()}
         yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))

@@ -285,7 +285,7 @@ def identify(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE)
 
 
 def _keep(batches, shared):
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         rows = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text")], ["doc_id", "text"])
         known = [lang != UNKNOWN for out in _predict([rows], shared, 1, 1) for lang in out.column("lang_pred").to_pylist()]
         yield batch.filter(pa.array(known, pa.bool_()))

@@ -69,7 +69,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("two segments serve up to 3 differing bits")
     bounds = [32 * i // (bits + 1) for i in range(bits + 2)]
-    keyed = variants(fps)
+    # small rows become 64 each, so they are dealt out widely, whatever was coalesced before
+    keyed = variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     hot = keyed.groupBy("key").count().where(F.col("count") > SMALL).select("key", F.lit(True).alias("hot"))
     other = F.when(F.col("key").bitwiseAND(63) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
     cutting = F.array(*[F.shiftright(other, at).bitwiseAND((1 << n) - 1).bitwiseOR(F.lit(k << 33)) for k, (at, n) in enumerate((a, b - a) for a, b in zip(bounds, bounds[1:]))])

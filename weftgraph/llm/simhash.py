@@ -119,6 +119,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     ids = roots.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(ids, "root").join(degree, "fp").select("fp", "component_id", "n_links")
     named = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = cut(named, "components")  # its own exchange below: a join that may be split where copies are many
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 

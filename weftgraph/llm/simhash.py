@@ -129,7 +129,11 @@ def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     Of rows that repeat this doc_id one stays; rows without a doc_id can't be named by a
     component and stay all.
     """
-    near = near_duplicates(docs, bits, shingle)
+    return named(docs, near_duplicates(docs, bits, shingle))
+
+
+def named(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of docs that name a component in near (doc_id, component_id); see above."""
     keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
     one = named.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__rn = 1").drop("__rn")

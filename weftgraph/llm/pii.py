@@ -1,11 +1,10 @@
 """Personal data and what gives it away, in DataFrame functions alone.
 
-Base spans are e-mail, IP, card and phone numbers.  Each is an entity to protect.  Terms
-(runs of letters and digits) near an entity are counted with it over the whole corpus:
-with N documents, n_t holding term t, n_e holding entity e and n_te holding t near e,
-t discloses e to the degree PMI = log2(n_te * N / (n_t * n_e)), and P(e | t) is
-n_te / n_t.  Terms at or above the thresholds join the spans where they stand near that
-entity.  Sanitising puts a base span's kind in its place and removes such terms.
+Base spans are e-mail, IP, card and phone numbers.  Each is an entity to protect.  Terms (runs of letters and digits) near an entity are counted with
+it over the whole corpus: with N documents, n_t holding term t, n_e holding entity e and
+n_te holding both, t discloses e to the degree PMI = log2(n_te * N / (n_t * n_e)), and
+P(e | t) is n_te / n_t.  Terms at or above the thresholds join the spans wherever they
+stand.  Sanitising puts a base span's kind in its place and removes such terms.
 """
 
 from __future__ import annotations
@@ -86,34 +85,67 @@ def rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("t")).withColumn("k", F.xxhash64("doc_id", "t"))
 
 
+def entities(b: Column) -> Column:
+    """A base span's name: its own value."""
+    value = F.when(b["o"] == 0, F.lower(b["v"])).otherwise(digits(b["v"]))
+    return F.array(F.concat(b["o"], F.lit(":"), value))
+
+
+def terms(t: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.split(F.lower(t), r"[^\p{L}\p{N}]+"))
+
+
 def contexts(found: DataFrame) -> DataFrame:
-    """(k, doc_id, entity, term, s, e) for each term near a base span and in none."""
-    one = found.where(F.size("base") > 0).select("k", "doc_id", "t", "base", F.explode("base").alias("b"))
-    value = F.when(F.col("b.o") == 0, F.lower("b.v")).otherwise(digits(F.col("b.v")))
+    """Distinct (entity, term) for each term near a base span and in none."""
+    one = found.where(F.size("base") > 0).select("t", "base", F.explode("base").alias("b"))
     start = F.greatest(F.col("b.s") - NEAR, F.lit(0))
-    one = one.select("k", "doc_id", "base", F.concat(F.col("b.o"), F.lit(":"), value).alias("entity"), start.alias("l0"), F.substring(F.col("t"), start + 1, F.col("b.s") - start).alias("left"), F.col("b.e").alias("r0"), F.substring(F.col("t"), F.col("b.e") + 1, F.lit(NEAR)).alias("right"), F.length("t").alias("n"))
+    one = one.select("base", entities(F.col("b")).alias("entities"), start.alias("l0"), F.substring(F.col("t"), start + 1, F.col("b.s") - start).alias("left"), F.col("b.e").alias("r0"), F.substring(F.col("t"), F.col("b.e") + 1, F.lit(NEAR)).alias("right"), F.length("t").alias("n"))
     # a word that the edge of the stretch cuts is not whole, unless the text ends there
     left = F.filter(spans(F.col("left"), TERM, 4), lambda x: (x["s"] > 0) | (F.col("l0") == 0))
     right = F.filter(spans(F.col("right"), TERM, 4), lambda x: (x["e"] < NEAR) | (F.col("r0") + x["e"] >= F.col("n")))
     move = lambda a, by: F.transform(a, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), F.lower(x["v"]).alias("v")))
-    near = one.select("k", "doc_id", "entity", "base", F.explode(F.concat(move(left, F.col("l0")), move(right, F.col("r0")))).alias("x"))
+    near = one.select("entities", "base", F.explode(F.concat(move(left, F.col("l0")), move(right, F.col("r0")))).alias("x"))
     free = ~F.exists("base", lambda b: (F.col("x.s") < b["e"]) & (F.col("x.e") > b["s"]))
-    return near.where((F.length("x.v") >= MIN_TERM) & F.col("x.v").rlike(r"\p{L}") & free).select("k", "doc_id", "entity", F.col("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    near = near.where((F.length("x.v") >= MIN_TERM) & F.col("x.v").rlike(r"\p{L}") & free)
+    return near.select(F.explode("entities").alias("entity"), F.col("x.v").alias("term")).distinct()
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, terms): the spans of disclosing terms of the rows that have any."""
+def revealing(docs: DataFrame) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity; every row counts as a document."""
     found = rows(docs)
-    near = cut(contexts(found.withColumn("base", base_spans(F.col("t")))), "pii-contexts")
-    n = found.count()
-    holding = near.select("k", "doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("k", "doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_DOCS)
-    everywhere = found.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    judged = pairs.join(everywhere, "term").join(holding, "entity")
-    share, bits = F.col("n_te") / F.col("n_t"), F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e"))
-    reveal = judged.where((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("entity", "term")
-    hit = near.join(reveal, ["entity", "term"]).select("k", "doc_id", F.struct("s", F.lit(4).alias("o"), "e", F.col("term").alias("v")).alias("x"))
-    return hit.groupBy("k", "doc_id").agg(F.collect_set("x").alias("terms"))
+    based = cut(found.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0), "pii-entities")
+    held = based.select("t", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity"))
+    holding = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = held.select("entity", F.explode(terms(F.col("t"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_DOCS)
+    everywhere = found.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    share = F.col("n_te") / F.col("n_t")
+    likely = pairs.join(contexts(based), ["entity", "term"]).join(everywhere, "term").where(share >= MIN_SHARE)
+    bits = F.log2(share * found.count() / F.col("n_e"))
+    return cut(likely.join(holding, "entity").where(bits >= MIN_BITS).select("entity", "term"), "pii-reveal")
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(k, doc_id, names): the disclosing terms in each row that has any, of whichever
+    document; frequent terms meet in a join that may be split."""
+    reveal = revealing(docs).select("term").distinct()
+    each = rows(docs).select("k", "doc_id", F.explode(terms(F.col("t"))).alias("term"))
+    return each.join(reveal, "term").groupBy("k", "doc_id").agg(F.collect_set("term").alias("names"))
+
+
+def places(text: Column, names: Column, base: Column) -> Column:
+    """Spans of the terms in `names`, wherever they stand outside base spans."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), 1, F.size(found)), found, lambda g, m: F.struct(g.alias("0"), m.alias("1")))
+
+    def step(a, x):
+        s = a["at"] + F.length(x["0"])
+        e, v = s + F.length(x["1"]), F.lower(x["1"])
+        free = ~F.exists(base, lambda b: (s < b["e"]) & (e > b["s"]))
+        here = F.array(F.struct(s.alias("s"), F.lit(4).alias("o"), e.alias("e"), v.alias("v")))
+        return F.struct(e.alias("at"), F.when(F.array_contains(names, v) & free, F.concat(a["out"], here)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda a: a["out"])
 
 
 def joined(x: Column) -> Column:
@@ -121,10 +153,11 @@ def joined(x: Column) -> Column:
     return F.concat(kind, F.lit(":"), x["s"], F.lit(":"), x["e"])
 
 
-def with_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found (with k, doc_id) and the terms of each row, an empty array for most."""
-    terms = disclosing(docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("k", "_k")
-    return found.join(terms, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("terms", F.coalesce("terms", empty())).drop("_k", "_doc")
+def with_terms(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """found (with k, doc_id, base) and the terms of each row, an empty array for most."""
+    names = disclosing(docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("k", "_k")
+    full = found.join(names, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return full.withColumn("terms", F.when(F.col("names").isNotNull(), places(F.col(text), F.col("names"), F.col("base"))).otherwise(empty())).drop("_k", "_doc", "names")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -133,9 +166,9 @@ def find(docs: DataFrame) -> DataFrame:
     A null text is empty and has no spans.  Rows that repeat have the same spans each, and
     each counts as a document.  An empty table gives no rows.
     """
-    base = rows(docs).select("k", "doc_id", base_spans(F.col("t")).alias("base"))
+    base = rows(docs).withColumn("base", base_spans(F.col("t")))
     count = lambda o: F.size(F.filter("base", lambda x: x["o"] == o)).cast("long")
-    return with_terms(base, docs).select(
+    return with_terms(base, docs, "t").select(
         "doc_id", *[count(o).alias(f"n_{k}") for o, k in enumerate(PATTERNS)],
         F.sha2(F.concat_ws(",", F.transform("base", joined)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform(F.sort_array(F.concat("base", "terms")), joined)).alias("spans"),
@@ -152,7 +185,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in names])  # no name in it clashes
     marked = docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     marked = marked.withColumn("k", F.xxhash64("doc_id", "_t")).withColumn("base", base_spans(F.col("_t")))
-    full = with_terms(marked, docs).withColumn("_all", F.sort_array(F.concat("base", "terms")))
+    full = with_terms(marked, docs, "_t").withColumn("_all", F.sort_array(F.concat("base", "terms")))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["o"] + 1)), F.lit("]"))
     step = lambda a, x: F.struct(
         F.greatest(a["at"], x["e"]).alias("at"),

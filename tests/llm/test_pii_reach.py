@@ -17,3 +17,17 @@ def test_disclosing_terms_go_everywhere(spark):
     assert [sorted(x) for x in got[900:]] == [["Zyxwyn", "zyxwyn"], ["zyxwyn"], ["zyxwyn"], ["zyxwyn"], ["Zyxwyn"], []] and not any(got[:900])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert pii.sanitise(df).where("doc_id = 904").first()["text"] == "common [TERM] words"
+
+
+def test_rare_entities_are_judged(spark):
+    texts = FILLER + [f"Quorvex member{i}@quorvex{i}.example common" for i in range(4)] + [f"common blenhost x{i}@blen.example" for i in range(4)]
+    got = term_words(spark, texts)
+    assert all("Quorvex" in got[i] for i in range(900, 904)) and all("blenhost" in got[i] for i in range(904, 908)) and not any(got[:900])
+
+
+def test_repeated_rows_count_alike(spark):
+    texts = FILLER + ["Zyxwyn zyx@corp.example"] * 3 + ["zyxwyn common"] * 2
+    df = spark.createDataFrame([(0 if 900 <= i < 903 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert not pii.find(df).where("spans like '%term%'").count()  # 3 of 5 rows
+    df = df.where("doc_id not in (904)").unionAll(df.where("text like 'Zyxwyn%'"))
+    assert pii.find(df).where("spans like '%term%'").count() == 7  # 6 of 7 rows

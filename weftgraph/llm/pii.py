@@ -1,6 +1,7 @@
 """Personal data and what gives it away, in DataFrame functions alone.
 
-Base spans are e-mail, IP, card and phone numbers.  Each is an entity to protect.  Terms (runs of letters and digits) near an entity are counted with
+Base spans are e-mail, IP, card and phone numbers.  Each is an entity to protect, by value
+and by coarser names.  Terms (runs of letters and digits) near an entity are counted with
 it over the whole corpus: with N documents, n_t holding term t, n_e holding entity e and
 n_te holding both, t discloses e to the degree PMI = log2(n_te * N / (n_t * n_e)), and
 P(e | t) is n_te / n_t.  Terms at or above the thresholds join the spans wherever they
@@ -86,9 +87,12 @@ def rows(docs: DataFrame) -> DataFrame:
 
 
 def entities(b: Column) -> Column:
-    """A base span's name: its own value."""
+    """A base span's names, from its own value to its kind: what is too rare to be judged
+    by value is judged by e-mail name or host, network, issuer, and kind."""
     value = F.when(b["o"] == 0, F.lower(b["v"])).otherwise(digits(b["v"]))
-    return F.array(F.concat(b["o"], F.lit(":"), value))
+    name = F.when(b["o"] == 0, F.concat(F.lit("name:"), F.lower(F.substring_index(b["v"], "@", 1))))
+    wider = F.when(b["o"] == 0, F.concat(F.lit("host:"), F.lower(F.substring_index(b["v"], "@", -1)))).when(b["o"] == 1, F.concat(F.lit("net:"), F.regexp_extract(b["v"], r"^(.*)\.", 1))).when(b["o"] == 2, F.concat(F.lit("issuer:"), F.substring(digits(b["v"]), 1, 6)))
+    return F.transform(F.array_compact(F.array(value, name, wider, F.lit("kind"))), lambda x: F.concat(b["o"], F.lit(":"), x))
 
 
 def terms(t: Column) -> Column:

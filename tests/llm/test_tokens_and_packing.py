@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftgraph.llm import packing, tokenbin
+from weftgraph.llm import packing, tokenbin, tokens
 from weftgraph.llm.tokens import Encoder, public_path
 
 TEXTS = ["Hello world, it's fine.", None, "", " ", "a  b", " lead", "trail ", "x \n y\n\n  z", "don't. x's! 'll", "<|endoftext|> a<|endoftext|>", "über ñandú 12,5 $$$", "long" * 4000, "word " * 3000, "Hello world, it's fine."]
@@ -29,7 +30,36 @@ def docs(spark, texts):
 @given(st.lists(st.text(alphabet="ab .,'\n\t$1é 　sTl<|endofx>", max_size=40), max_size=6))
 def test_encoder_equals_the_library(texts):
     enc = _encoder()
-    assert enc.encode(texts) == enc.whole(texts)
+    ids, sizes = enc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ([x.tolist() for x in enc.whole(texts)] or [[]])
+    ids, sizes = enc.encode(texts, 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ([[*x.tolist(), 7] for x in enc.whole(texts)] or [[]])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text(alphabet=" '\u2019stmdrevl!x1\n\t\r\u00a0\u0085\u3000\u200b\x1c\u180e\u00b2\u0660\u0301\U0001f600", max_size=30)), max_size=4))
+def test_units_equal_the_library(texts):
+    test = _encoder()
+    ids, sizes = test.encode(texts, 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == ([[*x.tolist(), 1] for x in test.whole(texts)] or [[]])
+
+
+def test_long_texts_and_forgetting(monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 50)
+    monkeypatch.setattr(tokens, "KEEP", 40)
+    enc = Encoder(public_path())
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        texts = ["".join(rng.choice([" ", "  ", "\n", "a", "don't", "x1", "\u00e9.", " \n", "'s"], rng.integers(0, 300))) for _ in range(3)]
+        ids, sizes = enc.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.tolist() for x in enc.whole(texts)]
+
+
+def test_another_pattern_is_left_to_the_library():
+    enc = Encoder(public_path("word_bpe_49k.json"))
+    assert not enc.by_units
+    ids, sizes = enc.encode(["A  b'S c", ""], 5)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*x.tolist(), 5] for x in enc.whole(["A  b'S c", ""])]
 
 
 def _encoder(memo=[]):
@@ -54,6 +84,16 @@ def test_token_files(spark, tokenizer):
         start += len(ids)
 
 
+def test_token_files_decode_alone(spark):
+    folder = tokenbin.write(docs(spark, TEXTS))
+    got = sorted(tokenbin.read(spark, folder).collect())
+    assert [r["doc_id"] for r in got] == list(range(len(TEXTS))) and got[0]["start"] == 0
+    ranks = np.frombuffer(tokenbin.read_whole(folder, tokenbin.RANKS), "<u4")
+    assert len(set(ranks.tolist())) == len(ranks)
+    no_id = tokenbin.round_trip(docs(spark, TEXTS).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))).collect()
+    assert sorted(r["start"] for r in no_id) == sorted(set(r["start"] for r in no_id)) and sum(r["doc_id"] is None for r in no_id) == 4
+
+
 def test_token_files_edges(spark):
     df = docs(spark, TEXTS)
     assert tokenbin.round_trip(df.limit(0)).count() == 0

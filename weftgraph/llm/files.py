@@ -26,3 +26,9 @@ def write_whole(folder: str, name: str, data: bytes) -> str:
         fs.delete_file(f"{path}/{name}")
         fs.move(hidden, f"{path}/{name}")
     return f"{folder}/{name}"
+
+
+def read_whole(folder: str, name: str) -> bytes:
+    fs, path = open_fs(folder)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        return f.read()

@@ -20,7 +20,7 @@ from .tokens import crc32_u32, encoder, public_path
 
 LENGTH, LINEAR, QUADRATIC = 1024, 1.0, 1.0 / 1024
 BLOCK = 4096
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,7 +62,6 @@ def balance(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quad
 
 def _pack(batches, path: str, end: int, length: int, linear: float, quadratic: float):
     enc = encoder(path)
-    tail, width = np.array([end], enc.dtype).tobytes(), enc.dtype.itemsize
     sequence = first_uid()
     held: list = []
     rows: list = []
@@ -84,17 +83,18 @@ def _pack(batches, path: str, end: int, length: int, linear: float, quadratic: f
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     for ids, texts in chunks(batches, CHUNK):
-        for doc, raw in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts])):
-            all_ids = np.frombuffer(raw + tail, enc.dtype)
-            total = len(all_ids)
+        flat, sizes = enc.encode([t.decode("utf-8", "replace") for t in texts], end)
+        wide, at = flat.astype("<u4"), 0
+        for doc, total in zip(ids, sizes.tolist()):
             whole = total // length * length
             for start in range(0, whole, length):
-                rows.append((doc, start, length, crc32_u32(all_ids[start : start + length]), total, sequence, 0))
+                rows.append((doc, start, length, crc32_u32(wide[at + start : at + start + length]), total, sequence, 0))
                 sequence += 1
             if whole < total:
-                held.append((doc, whole, all_ids[whole:].copy(), total))
+                held.append((doc, whole, wide[at + whole : at + total].copy(), total))
                 if len(held) >= BLOCK:
                     deal()
+            at += total
         yield batch()
     if held:
         deal()

@@ -1,7 +1,7 @@
 """Token-id files: frequency-ranked ids, byte-aligned variable-length, control bytes apart.
 
-A folder holds `ranks` (ids by descending frequency, as unsigned 32-bit integers) and
-shards.  A shard: magic, counts (documents, ids, bytes of data, the ids before it in its
+A folder holds `_ranks` (ids by descending frequency, as unsigned 32-bit integers),
+`_before` (partitions and the ids before each, as 64-bit integers) and shards.  A shard: magic, counts (documents, ids, bytes of data, the ids before it in its
 partition), doc_ids, lengths, control bytes, data bytes.  An id is stored as its rank in
 1 to 4 little-endian bytes; one control byte holds the lengths less 1 of four ranks.
 Decoding looks the control bytes up in a table of 256 rows and gathers with numpy.
@@ -13,17 +13,17 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, first_uid, shared_path, ship, text_bytes
-from .files import write_whole
+from .files import read_whole, write_whole
 from .tokens import crc32_u32, encoder, public_path
 
 MAGIC, HEAD = b"WTID\x01\x00\x00\x00", struct.Struct("<8sQQQQ")
 SHARD_IDS = 2 << 20
-CHUNK = 2 << 20
+CHUNK = 4 << 20
+RANKS, BEFORE = "_ranks", "_before"
 NO_DOC = -(1 << 63)  # stands for a null doc_id in a shard
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
@@ -53,8 +53,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def write_shard(doc_ids, lengths, ranks: np.ndarray, before: int) -> bytes:
     control, data = pack(ranks)
-    ids = np.array([NO_DOC if i is None else i for i in doc_ids], "<i8")
-    return HEAD.pack(MAGIC, len(ids), len(ranks), len(data), before) + ids.tobytes() + np.array(lengths, "<u8").tobytes() + control + data
+    return HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data), before) + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u8").tobytes() + control + data
 
 
 def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -70,95 +69,101 @@ def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def _encode(batches, path: str, end: int):
-    enc, press = encoder(path), zstandard.ZstdCompressor(3)
-    tail = np.array([end], enc.dtype).tobytes()
-    for ids, texts in chunks(batches, CHUNK):
-        coded = [c + tail for c in enc.encode([t.decode("utf-8", "replace") for t in texts])]
-        yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([press.compress(c) for c in coded], pa.binary())})
+    """Rows (doc_id, ids, null); at the end of a partition one (null, null, seen) with how
+    often it has each id."""
+    enc = encoder(path)
+    total = np.zeros(max(enc.size, end + 1), np.int64)
+    for docs, texts in chunks(batches, CHUNK):
+        ids, sizes = enc.encode([t.decode("utf-8", "replace") for t in texts], end)
+        total += np.bincount(ids, minlength=len(total))
+        offsets = np.r_[0, np.cumsum(sizes)] * enc.dtype.itemsize
+        coded = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+        yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "ids": coded, "seen": pa.nulls(len(docs), pa.binary())})
+    at = np.flatnonzero(total)
+    if len(at):
+        yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "seen": pa.array([np.stack([at, total[at]]).astype("<i8").tobytes()], pa.binary())})
 
 
-def _tally(batches, path: str):
-    enc, press = encoder(path), zstandard.ZstdDecompressor()
-    total = np.zeros(len(enc.opens) + 1, np.int64)
+def _tally(batches):
     for batch in batches:
-        for z in batch.column("ids").to_pylist():
-            total += np.bincount(np.frombuffer(press.decompress(z), enc.dtype), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(at.astype(np.int64)), "n": pa.array(total[at])})
+        for raw in batch.column("seen").to_pylist():
+            at, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+            yield pa.record_batch({"id": pa.array(at), "n": pa.array(n)})
 
 
-def _write(batches, folder: str, path: str, rank_of: np.ndarray):
-    enc, press, part = encoder(path), zstandard.ZstdDecompressor(), first_uid() >> 33
+def _write(batches, folder: str, width: int):
+    dtype, part = np.dtype(f"<u{width}"), first_uid() >> 33
+    id_of = np.frombuffer(read_whole(folder, RANKS), "<u4")
+    rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
+    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     held: list = []
     size = before = seq = 0
-    out = []
 
     def flush():
         nonlocal held, size, before, seq
-        ranks = rank_of[np.concatenate([x for _, x in held])]
-        write_whole(folder, f"part-{part:06d}-{seq:06d}", write_shard([i for i, _ in held], [len(x) for _, x in held], ranks, before))
-        out.append((part, len(ranks)))
+        ranks = rank_of[np.concatenate([x for _, _, x in held])]
+        docs, lengths = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        write_whole(folder, f"part-{part:06d}-{seq:06d}", write_shard(docs, lengths, ranks, before))
         before, seq, held, size = before + len(ranks), seq + 1, [], 0
 
-    for batch in batches:
-        for i, z in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-            ids = np.frombuffer(press.decompress(z), enc.dtype)
-            if held and size + len(ids) > SHARD_IDS:
-                flush()
-            held.append((i, ids))
-            size += len(ids)
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        coded = batch.column("ids")
+        at = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1].astype(np.int64) // width
+        ids = np.frombuffer(coded.buffers()[2], dtype, int(at[-1] - at[0]), int(at[0]) * width)
+        if held and size + len(ids) > SHARD_IDS:
+            flush()
+        held.append((batch.column("doc_id").fill_null(NO_DOC).to_numpy(), np.diff(at), ids.copy()))
+        size += len(ids)
     if held:
         flush()
-    yield pa.record_batch({"part": pa.array([p for p, _ in out], pa.int32()), "n": pa.array([n for _, n in out], pa.int64())})
+    yield pa.record_batch({"part": pa.array([part] if seq else [], pa.int32()), "n": pa.array([before] if seq else [], pa.int64())})
 
 
-def _read(batches, id_of: np.ndarray, before_part: dict[int, int]):
+def _read(batches, folder: str):
+    id_of = before_part = None
     for batch in batches:
         for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            if id_of is None:
+                id_of = np.frombuffer(read_whole(folder, RANKS), "<u4")
+                before_part = dict(np.frombuffer(read_whole(folder, BEFORE), "<i8").reshape(-1, 2).tolist())
             docs, lengths, ranks, before = read_shard(raw)
             part = int(name.rpartition("/part-")[2][:6])
             ids, ends = id_of[ranks], np.cumsum(lengths)
             yield pa.record_batch({
                 "doc_id": pa.array(docs, mask=docs == NO_DOC), "start": pa.array(ends - lengths + before + before_part[part]), "n_tokens": pa.array(lengths),
-                "ids_crc32": pa.array([crc32_u32(ids[e - n : e]) for e, n in zip(ends, lengths)], pa.int64()),
+                "ids_crc32": pa.array([crc32_u32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64()),
             })
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = 2) -> tuple[str, np.ndarray, dict[int, int]]:
+def write(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
     """Write all documents' ids, each document's followed by `end`, in ascending doc_id
-    order.  Returns the folder, the ids by rank, and the ids before each partition; the
-    latter two are bounded by the vocabulary and by the number of shuffle partitions."""
+    order; the folder, from which alone read() decodes.  What the driver holds is bounded
+    by the vocabulary and by the number of shuffle partitions."""
     spark, path = docs.sparkSession, path or public_path()
     ship(spark)
     folder = shared_path(spark, "token-ids")
-    coded = cut(text_bytes(docs).mapInArrow(lambda it: _encode(it, path, end), "doc_id long, ids binary"), "token-cut")
-    totals = coded.select("ids").mapInArrow(lambda it: _tally(it, path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    width = encoder(path).dtype.itemsize
+    coded = cut(text_bytes(docs).mapInArrow(lambda it: _encode(it, path, end), "doc_id long, ids binary, seen binary"), "token-cut")
+    totals = coded.where("seen is not null").select("seen").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = totals["id"].to_numpy(), totals["n"].to_numpy()
-    id_of = ids[np.lexsort((ids, -n))].astype("<u4")
-    rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
-    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-    write_whole(folder, "_ranks", id_of.tobytes())
+    write_whole(folder, RANKS, ids[np.lexsort((ids, -n))].astype("<u4").tobytes())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _write(it, folder, path, rank_of), "part int, n long")
-    sizes = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    before, total = {}, 0
-    for part, size in sizes:
-        before[part], total = total, total + size
-    return folder, id_of, before
+    rows = coded.where("seen is null").select("doc_id", "ids")
+    written = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _write(it, folder, width), "part int, n long")
+    sizes = sorted((r["part"], r["n"]) for r in written.collect())
+    before = np.cumsum([0, *(n for _, n in sizes)])[:-1]
+    write_whole(folder, BEFORE, np.array([(p, b) for (p, _), b in zip(sizes, before)], "<i8").tobytes())
+    return folder
 
 
-def read(spark, folder: str, id_of: np.ndarray, before: dict[int, int]) -> DataFrame:
+def read(spark, folder: str) -> DataFrame:
     """One row per document: doc_id, start (all ids before it), n_tokens, ids_crc32."""
     ship(spark)
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("path", "content").mapInArrow(lambda it: _read(it, id_of, before), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "content").mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFrame:
     """write(), then read().  A null text is empty: it has the end id alone.  Rows of one
     doc_id follow each other, null doc_ids come first; an empty table gives no rows."""
-    folder, id_of, before = write(docs, path, end)
-    spark = docs.sparkSession
-    if not before:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read(spark, folder, id_of, before)
+    return read(docs.sparkSession, write(docs, path, end))

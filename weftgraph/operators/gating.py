@@ -99,4 +99,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, initial: DataFrame, rounds: in
         if left == todo:
             break
         todo = left
+    else:
+        if todo:
+            raise ValueError(f"deeper than {rounds} levels")
     return known.select("oid", "status")

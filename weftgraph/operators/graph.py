@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 
+COMPACT = 16  # levels after which the tables of a fixpoint become one
 APP_TO_DATA = 5  # weight of an edge whose data node gives none
 
 
@@ -38,9 +39,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, starts: DataFrame, prune=None, depth: int = 10_000) -> DataFrame:
     """(oid, depth): least number of edges from any start.  prune, a condition on src, dst
     and depth, keeps an edge from being followed.  Each level is one join against what is
-    not yet seen."""
+    not yet seen.  A graph of more than `depth` levels is a ValueError."""
     seen = cut(starts.select("oid").distinct().withColumn("depth", F.lit(0)), "bfs")
-    last = seen
+    last, parts = seen, 0
     for d in range(1, depth + 1):
         step = edges.join(last.select(F.col("oid").alias("src"), "depth"), "src")
         if prune is not None:
@@ -48,9 +49,11 @@ def bfs(edges: DataFrame, starts: DataFrame, prune=None, depth: int = 10_000) ->
         fresh = step.select(F.col("dst").alias("oid")).distinct().join(seen.select("oid"), "oid", "left_anti").withColumn("depth", F.lit(d))
         last = cut(fresh, "bfs")
         if last.isEmpty():
-            break
-        seen = seen.unionByName(last)
-    return seen
+            return seen
+        seen, parts = seen.unionByName(last), parts + 1
+        if parts % COMPACT == 0:  # one table again, so that plans stay small
+            seen = cut(seen, "bfs")
+    raise ValueError(f"deeper than {depth} levels")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -63,6 +66,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
             break
         done = free.withColumn("level", F.lit(n))
         out = done if out is None else out.unionByName(done)
+        if (n + 1) % COMPACT == 0:
+            out = cut(out, "kahn")
         todo = cut(todo.join(free, "oid", "left_anti"), "kahn")
         left = cut(left.join(free.select(F.col("oid").alias("src")), "src", "left_anti"), "kahn")
         n += 1

@@ -47,15 +47,38 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The store of a path and the path in it, as the JVM sees them."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/weftgraph/{kind}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is written there goes when the
+    application ends."""
+    path = f"{shared_root(spark)}/weftgraph/{kind}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
+def cut(df: DataFrame, kind: str = "cut", compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that
     outlive any executor, and later scans prune columns."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that cut() has written; nothing may read it any more."""
+    path = getattr(df, "_shared_path", None)
+    if path:
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)

@@ -57,12 +57,12 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
 FROM p JOIN f USING (s)"""
 
-_RULES = ", ".join(f"('{m}', {c!r})" for m, cs in riskrules.GRID.items() for c in cs)
-_MEASURES = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{m}' AS rule, {x} AS v FROM c" for m, x in {
+_MEASURES = {
     "symbol_ratio": "n_symbols / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
-    "upper_ratio": "upper / greatest(word_chars, 1)", "mean_word": "word_chars / greatest(n_words, 1)", "shortness": "1 / greatest(n_words, 1)",
-}.items())
-_ALPHA = riskrules.LIMIT / len(riskrules.GRID)
+    "upper_ratio": "upper / greatest(word_chars, 1)", "mean_word": "word_chars / greatest(n_words, 1)",
+}
+_HIT = ", ".join(f"len(list_filter({cuts!r}, lambda c: {_MEASURES[m]} <= c))" for m, cuts in riskrules.SETTINGS.items())
+_ALPHA = riskrules.LIMIT
 ORACLES["op8_quality_rules"] = f"""
 WITH a AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, list_filter(string_split_regex(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS lines FROM a),
@@ -71,11 +71,11 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x
 rep AS (SELECT doc_id, CAST(sum(step) AS BIGINT) AS n FROM (SELECT doc_id, least(8, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8)) AS step FROM twice) GROUP BY 1),
 m AS (SELECT b.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, coalesce(rep.n, 0) AS n_repeat_words FROM b LEFT JOIN rep ON rep.doc_id = b.doc_id),
-c AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-v AS ({_MEASURES}),
-g AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-k AS (SELECT stratum, v.rule, r.cut, count(*) AS n, count(*) FILTER (v > r.cut) AS k FROM v JOIN (VALUES {_RULES}) AS r(rule, cut) ON v.rule = r.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM g) GROUP BY 1, 2, 3),
-ok AS (SELECT stratum, rule, min(cut) AS cut FROM k WHERE k <= n * {_ALPHA!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA!r}) + (n - i) * ln(1 - {_ALPHA!r}))))
-  <= {riskrules.DELTA!r} / {len(riskrules.GRID)} / (SELECT greatest(count(DISTINCT stratum), 1) FROM c) GROUP BY 1, 2),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN ok ON v.stratum = ok.stratum AND v.rule = ok.rule WHERE v > ok.cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM c"""
+c AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, least({_HIT}) AS hit FROM m),
+g AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id),
+k AS (SELECT stratum, j, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND hit <= j) AS k, count(*) FILTER (q = 0 AND hit <= j) AS bad
+  FROM c JOIN g USING (doc_id), range({riskrules.STEPS}) AS s(j) WHERE NOT base_failed GROUP BY 1, 2),
+ok AS (SELECT stratum, j, bad FROM k WHERE n > 0 AND k <= n * {_ALPHA!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA!r}) + (n - i) * ln(1 - {_ALPHA!r}))))
+  <= {riskrules.DELTA!r} * n / (SELECT sum(n) FROM k WHERE j = 0)),
+chosen AS (SELECT stratum, CAST(min(j) AS INTEGER) AS setting FROM ok WHERE bad = (SELECT max(bad) FROM ok AS o WHERE o.stratum = ok.stratum) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(hit <= setting, false) AS kept, setting FROM c LEFT JOIN chosen USING (stratum)"""

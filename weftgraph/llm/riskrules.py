@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Every rule rejects documents whose measure exceeds a cutoff.  For each stratum and rule
-the cutoffs of a fixed grid are tested from the laxest to the strictest on labelled good
-documents: the exact binomial tail P(Bin(n, alpha) <= rejected) bounds the chance that
-the true false-rejection rate is alpha or more.  alpha is the stratum's limit divided by
-the number of rules, and the tail must stay below delta divided by the number of strata
-and rules (Bonferroni; within a rule the tests are a fixed sequence and need none).  So
-with probability 1 - delta no stratum loses more than the limit of its good documents.
+Every rule rejects documents whose measure exceeds a cutoff.  SETTINGS is a fixed sequence
+of joint settings of all rules, from the laxest to the strictest.  For each stratum they
+are tested in that order on labelled good documents: with n of them, of which a setting
+rejects k, the exact binomial tail P(Bin(n, limit) <= k) bounds the chance that the true
+false-rejection rate of the whole rule set is `limit` or more.  A fixed sequence needs no
+correction within a stratum; over strata, delta is shared out by their numbers of labelled
+good documents (weighted Bonferroni).  So with probability 1 - delta no stratum loses more
+than the limit of its good documents.  Of the settings that pass, the laxest is taken that
+rejects as many labelled bad documents as any of them.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 FEW_STRATA = 10_000
 
-#: measure -> cutoffs, strictest first
-GRID = {
-    "symbol_ratio": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5],
-    "dup_line_ratio": [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7],
-    "repeat_ratio": [0.02, 0.05, 0.1, 0.15, 0.2, 0.25],
-    "upper_ratio": [0.1, 0.15, 0.2, 0.3, 0.5, 0.8],
-    "mean_word": [8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0],
-    "shortness": [1 / 50, 1 / 40, 1 / 30, 1 / 25],
+#: measure -> cutoffs, laxest first; the j-th of all measures are the j-th joint setting
+SETTINGS = {
+    "symbol_ratio": [0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01],
+    "dup_line_ratio": [0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25],
+    "repeat_ratio": [0.3, 0.3, 0.3, 0.28, 0.26, 0.24, 0.22, 0.2],  # the base rule has 0.3
+    "upper_ratio": [0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.12, 0.1],
+    "mean_word": [12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75],
 }
+STEPS = len(SETTINGS["symbol_ratio"])
 
 
 def without(c: Column, chars: str) -> Column:
@@ -46,7 +48,8 @@ def windows(h: Column, width: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base counts, base_failed, and the measures of GRID."""
+    """doc_id, stratum, the base counts, base_failed, and `hit`, the first of SETTINGS that
+    rejects the document (STEPS: none does)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text.alias("t"))
     d = d.withColumn("w", words(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -68,11 +71,14 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     d = d.withColumn("n_repeat_words", F.when(F.col("_s").isNotNull(), covered).otherwise(F.lit(0).cast("long")))
     chars, n = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    measures = {
+        "symbol_ratio": F.col("n_symbols") / chars, "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "repeat_ratio": F.col("n_repeat_words") / n,
+        "upper_ratio": F.col("upper") / chars, "mean_word": F.col("word_chars") / n,
+    }
+    hit = F.least(*[sum((measures[m] <= c).cast("int") for c in cuts) for m, cuts in SETTINGS.items()])
     return d.select(
         "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).alias("base_failed"),
-        (F.col("n_symbols") / chars).alias("symbol_ratio"), (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_ratio"),
-        (F.col("n_repeat_words") / n).alias("repeat_ratio"), (F.col("upper") / chars).alias("upper_ratio"), (F.col("word_chars") / n).alias("mean_word"), (1 / n).alias("shortness"),
+        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).alias("base_failed"), hit.alias("hit"),
     )
 
 
@@ -88,32 +94,34 @@ def log_tail(n: Column, k: Column, alpha: float) -> Column:
     return F.when(k > n * alpha, F.lit(0.0)).otherwise(F.aggregate(upto, F.struct(first.alias("term"), first.alias("total")), step, lambda a: a["total"]))
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, strata: int, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column for each rule): the strictest cutoff that passes, or null."""
-    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
-    held = found.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    tests = [(m, c) for m, cs in GRID.items() for c in cs]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(m) > c).cast("long")).alias(f"k{i}") for i, (m, c) in enumerate(tests)])
-    alpha, line = limit / len(GRID), math.log(delta / len(GRID) / max(strata, 1))
-    passed = [F.when(log_tail(F.col("n"), F.col(f"k{i}"), alpha) <= line, F.lit(c)) for i, (_, c) in enumerate(tests)]
-    return counts.select("stratum", *[F.array_min(F.array(*[passed[i] for i, (x, _) in enumerate(tests) if x == m])).alias(f"cut_{m}") for m in GRID])
+def cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
+    """(stratum, setting): the place in SETTINGS of the setting chosen for each stratum that
+    has any; found has doc_id, stratum, base_failed and hit."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).groupBy("doc_id").agg(F.min("q").alias("q"))
+    held = found.where(~F.col("base_failed")).select("doc_id", "stratum", "hit").join(marks, "doc_id")
+    sums = lambda q, name: [F.sum(((F.col("q") == q) & (F.col("hit") <= j)).cast("long")).alias(f"{name}{j}") for j in range(STEPS)]
+    counts = held.groupBy("stratum").agg(F.sum((F.col("q") == 1).cast("long")).alias("n"), *sums(1, "k"), *sums(0, "bad"))
+    total = counts.agg(F.sum("n").alias("total"))
+    line = F.log(F.lit(float(delta)) * F.col("n") / F.col("total"))
+    # what a stricter setting rejects, a laxer one may not, so tails rise along the sequence
+    # and those that pass are its beginning, as a fixed sequence of tests demands
+    passed = [F.when((F.col("n") > 0) & (log_tail(F.col("n"), F.col(f"k{j}"), limit) <= line), F.col(f"bad{j}")) for j in range(STEPS)]
+    chosen = counts.join(F.broadcast(total)).withColumn("passed", F.array_compact(F.array(*passed)))
+    return chosen.where(F.size("passed") > 0).select("stratum", (F.array_position("passed", F.array_max("passed")) - 1).cast("int").alias("setting"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept.
+    n_repeat_words, base_failed, kept, setting (null: none passed in its stratum).
 
     A null text has no words and fails the base rule; a null lang is a stratum of its own.
-    A document labelled more than once is good if all its labels are.  Where labels don't
-    suffice for a stratum and rule, that rule rejects nothing there.  An empty table gives
-    no rows.
+    A document labelled more than once is good if all its labels are, one without a quality
+    is not labelled; rows that share a labelled doc_id count each.  Where labels don't
+    suffice for a stratum, no rule rejects anything there.  An empty table gives no rows.
     """
     found = cut(measured(docs), "measured")
-    strata = found.select("stratum").distinct().count()
-    limits = cutoffs(found, labels, strata, limit, delta)
-    if strata <= FEW_STRATA:
+    limits = cutoffs(found, labels, limit, delta)
+    if found.select("stratum").distinct().limit(FEW_STRATA + 1).count() <= FEW_STRATA:
         limits = F.broadcast(limits)
-    reject = F.lit(False)
-    for m in GRID:
-        reject = reject | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return found.join(limits, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~reject).alias("kept"))
+    reject = F.coalesce(F.col("hit") <= F.col("setting"), F.lit(False))
+    return found.join(limits, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~reject).alias("kept"), "setting")

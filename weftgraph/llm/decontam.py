@@ -3,13 +3,15 @@
 An item of m words may differ in k = floor(m * (1 - similarity)) word edits.  It is cut
 into k + 1 pieces; k edits leave one piece untouched, so every match holds an exact
 piece.  Piece hits are found by rolling hashes over word numbers and compared exactly;
-around them Myers' bit-parallel algorithm finds the least edit distance of the item to
-any stretch of words.  Words are lower-cased and stripped of outer punctuation.
+around them Myers' bit-parallel algorithm finds the edit distances of the item to all
+stretches of words; occurrences that don't overlap are taken, the nearest first.  Words
+are lower-cased and stripped of outer punctuation.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections import defaultdict
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, ship, text_bytes
 
 SIMILARITY = 0.8
-MIN_WORDS = 5  # shorter items are no passages and match nothing
+MIN_WORDS = 1  # items of under 5 words have no edit budget: they match exactly
 BLOCK_BYTES = 8 << 20
 CHUNK = 2 << 20
 KEEP = 500_000
@@ -48,12 +50,12 @@ def cut_pieces(m: int, k: int) -> list[tuple[int, int]]:
 class Items:
     """Benchmark items, their vocabulary, and their pieces by length and hash."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float):
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, min_words: int = MIN_WORDS):
         self.vocabulary: dict[str, int] = {}
         self.items, self.pieces = [], defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
             w = [p for p in (plain(x) for x in _WORD.findall(text or "")) if p]
-            if len(w) < MIN_WORDS:
+            if len(w) < max(1, min_words):
                 continue
             ids = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]
             k = int(len(w) * (1 - similarity) + 1e-9)
@@ -97,9 +99,44 @@ def myers(masks: dict[int, int], m: int, words: list[int], anchored: bool = Fals
     return best, end
 
 
+def ends(masks: dict[int, int], m: int, words: list[int], k: int) -> list[tuple[int, int]]:
+    """(distance, end) of every end in `words` of a stretch within k edits of the pattern,
+    the least distances first."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score, out = full, 0, m, []
+    for j, w in enumerate(words):
+        eq = masks.get(w, 0)
+        vertical = eq | minus
+        horizontal = (((eq & plus) + plus) ^ plus) | eq
+        hp, hm = minus | (~(horizontal | plus) & full), plus & horizontal
+        score += bool(hp & top) - bool(hm & top)
+        hp, hm = (hp << 1) & full, (hm << 1) & full
+        plus, minus = hm | (~(vertical | hp) & full), hp & vertical
+        if score <= k:
+            out.append((score, j + 1))
+    return sorted(out)
+
+
+def occurrences(item: tuple, words: list[int]) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of stretches within the item's budget that do not overlap: the
+    nearest first, of equals the earlier.  What is left beside one is searched on."""
+    _, own, k, masks, back = item
+    taken: list[tuple[int, int]] = []
+    out = []
+    for _, end in ends(masks, len(own), words, k):
+        at = bisect(taken, (end - 1, len(words) + 1))
+        before = taken[at - 1][1] if at else 0
+        if before < end:
+            low = max(before, end - len(own) - k)
+            distance, size = myers(back, len(own), words[low:end][::-1], True)
+            if distance <= k and size:
+                insort(taken, (end - size, end))
+                out.append((distance, end - size, end))
+    return out
+
+
 def find(items: Items, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item number, distance, first word, end word) of the matches in a word sequence:
-    for each item the best of every stretch of overlapping candidates."""
+    """(item number, distance, first word, end word) of the matches in a word sequence."""
     near = defaultdict(list)
     for n, hashes in items.hashes.items():
         if len(ids) < n:
@@ -107,13 +144,13 @@ def find(items: Items, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         h = rolling(ids.astype(np.uint64), n)
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         for p in np.flatnonzero(hashes[at] == h).tolist():
+            here = ids[p : p + n].tolist()
             for number, start in items.pieces[n][int(h[p])]:
                 _, own, k, _, _ = items.items[number]
-                if own[start : start + n] == ids[p : p + n].tolist():
+                if own[start : start + n] == here:
                     near[number].append((max(0, p - start - k), min(len(ids), p - start + len(own) + k)))
     out = []
     for number, spans in near.items():
-        _, own, k, masks, back = items.items[number]
         spans.sort()
         joined = [list(spans[0])]
         for a, b in spans[1:]:
@@ -122,10 +159,7 @@ def find(items: Items, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
             else:
                 joined.append([a, b])
         for a, b in joined:
-            best, end = myers(masks, len(own), ids[a:b].tolist())
-            if best <= k:
-                size = myers(back, len(own), ids[a : a + end][::-1].tolist(), True)[1]
-                out.append((number, best, a + end - size, a + end))
+            out += [(number, d, a + s, a + e) for d, s, e in occurrences(items.items[number], ids[a:b].tolist())]
     return out
 
 
@@ -146,8 +180,9 @@ def _search(batches, shared):
                 known[x] = number(p, 0) if p else -1
             seq = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
             kept = np.flatnonzero(seq >= 0)
-            for n, distance, first, end in find(items, seq[kept]) if len(kept) else ():
-                places = [m.span() for m in _WORD.finditer(text)]
+            found = find(items, seq[kept]) if len(kept) else ()
+            places = [m.span() for m in _WORD.finditer(text)] if found else []
+            for n, distance, first, end in found:
                 rows.append((doc, items.items[n][0], distance, len(items.items[n][1]), places[kept[first]][0], places[kept[end - 1]][1]))
         if len(known) > KEEP:
             known.clear()
@@ -155,29 +190,31 @@ def _search(batches, shared):
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=fields)
 
 
-def blocks_of(benchmark: DataFrame, similarity: float, block_bytes: int) -> list:
+def blocks_of(benchmark: DataFrame, similarity: float, block_bytes: int, min_words: int) -> list:
     """Broadcasts of the items in blocks of about `block_bytes` of text each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes) or 1
     out = []
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toLocalIterator()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], similarity)))
+        rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).toLocalIterator()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], similarity, min_words)))
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start, end) of each match; start and end are
     code points of the text, end exclusive.
 
     The items are searched in blocks of about `block_bytes`, so what is broadcast is bounded
-    however many they are.  Null and word-free texts match nothing, nor do items of under
-    MIN_WORDS words; rows that repeat are matched each.  An empty table gives no rows.
+    however many they are; docs are read once a block.  Null and word-free texts and items
+    match nothing, nor do items of under `min_words` words; rows that repeat are matched
+    each, and an item that occurs several times in a text gives a row for each occurrence
+    that overlaps no other.  An empty table gives no rows.
     """
     ship(docs.sparkSession)
     found = None
-    for shared in blocks_of(benchmark, similarity, block_bytes):
+    for shared in blocks_of(benchmark, similarity, block_bytes, min_words):
         part = text_bytes(docs).mapInArrow(lambda it, s=shared: _search(it, s), "doc_id long, item_id long, distance long, item_words long, start long, end long")
         found = part if found is None else found.unionAll(part)
     return found
@@ -190,9 +227,10 @@ def _clean(batches, shared):
         yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that match no item, with all their columns, in one pass a block."""
+def without_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of docs that match no item of `min_words` words or more, with all their
+    columns, in one pass a block.  Null texts match nothing and stay."""
     ship(docs.sparkSession)
-    for shared in blocks_of(benchmark, similarity, block_bytes):
+    for shared in blocks_of(benchmark, similarity, block_bytes, min_words):
         docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s), docs.schema)
     return docs

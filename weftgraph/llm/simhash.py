@@ -15,11 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, ship, text_bytes
+from .common import chunks, cut, discard, ship, text_bytes
 
 SHINGLE, BITS = 3, 2
 CHUNK = 4 << 20
 SMALL = 64  # see links()
+HOT, HOT_COPIES = 4096, 16  # see joined_copies()
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -61,26 +62,38 @@ def variants(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs a < b of distinct fingerprints that differ in at most `bits` (3 at most) bits.
 
-    Keys of over SMALL fingerprints are refined: of two members of a bucket the other
-    segment differs in at most `bits` bits, so of its bits + 1 pieces one is equal; members
-    meet only under an equal piece.  That is exact too, and keeps large buckets from
-    pairing whole.
+    Keys of one fingerprint alone go before the join.  Keys of over SMALL are refined: of
+    two members of a bucket the other segment differs in at most `bits` bits, so of its
+    bits + 1 pieces one is equal; members meet only under an equal piece.  That is exact
+    too, and keeps large buckets from pairing whole.  A pair comes from one key and piece
+    alone: the first segment that differs in one bit at most, the wildcard at that bit (the
+    first, if none differs), the first equal piece.
     """
     if not 0 <= bits <= 3:
         raise ValueError("two segments serve up to 3 differing bits")
     bounds = [32 * i // (bits + 1) for i in range(bits + 2)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(bounds, bounds[1:])]
     # small rows become 64 each, so they are dealt out widely, whatever was coalesced before
     keyed = variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > SMALL).select("key", F.lit(True).alias("hot"))
-    other = F.when(F.col("key").bitwiseAND(63) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    cutting = F.array(*[F.shiftright(other, at).bitwiseAND((1 << n) - 1).bitwiseOR(F.lit(k << 33)) for k, (at, n) in enumerate((a, b - a) for a, b in zip(bounds, bounds[1:]))])
-    both = keyed.join(hot, "key", "left").select("key", "fp", F.explode(F.when(F.col("hot"), cutting).otherwise(F.array(F.lit(-1).cast("long")))).alias("piece"))
+    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    low, high = (lambda x: x.bitwiseAND(0xFFFFFFFF)), (lambda x: F.shiftrightunsigned(x, 32))
+    first = F.col("key").bitwiseAND(63) < 32
+    other = F.when(first, high(F.col("fp"))).otherwise(low(F.col("fp")))
+    cutting = F.array(*[other.bitwiseAND(m).bitwiseOR(F.lit(k << 33)) for k, m in enumerate(masks)])
+    both = met.select("key", "fp", F.explode(F.when(F.col("n") > SMALL, cutting).otherwise(F.array(F.lit(-1).cast("long")))).alias("piece"))
     a, b = both.select("key", "piece", F.col("fp").alias("a")), both.select("key", "piece", F.col("fp").alias("b"))
-    return a.join(b, ["key", "piece"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
+    diff = F.col("a").bitwiseXOR(F.col("b"))
+    bit = lambda x: F.when(x == 0, 0).otherwise(F.bit_count(x - 1))  # noqa: E731 - of one bit at most
+    place = F.when(F.bit_count(low(diff)) <= 1, bit(low(diff))).otherwise(bit(high(diff)) + 32)
+    rest = F.when(first, high(diff)).otherwise(low(diff))
+    equal = F.coalesce(*[F.when(rest.bitwiseAND(m) == 0, k) for k, m in enumerate(masks)])
+    once = (F.col("key").bitwiseAND(63) == place) & ((F.col("piece") < 0) | (F.shiftright("piece", 33) == equal))
+    return a.join(b, ["key", "piece"]).where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= bits) & once).select("a", "b")
 
 
 def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the least node reachable, for every node of the pairs (a, b).
+    """(node, root): the least node reachable, for every node of the pairs (a, b).  Pairs
+    that are not settled within `rounds` are a ValueError.
 
     Alternates large-star and small-star rounds; each ends in a written table, so no
     lineage grows, nothing is collected, and a hub's links are aggregated partly first.
@@ -94,11 +107,14 @@ def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.where("u <> v").distinct(), "edges")
+        older, edges = edges, cut(small.where("u <> v").distinct(), "edges")
+        discard(older)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state is not None and tuple(now) == state:
             break
         state = tuple(now)
+    else:
+        raise ValueError(f"components not settled within {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -112,15 +128,26 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
     name a component unless a component has no other.  An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct")
     pairs = cut(links(reps.select("fp"), bits), "links")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = components(pairs).withColumnRenamed("node", "fp")
     ids = roots.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(ids, "root").join(degree, "fp").select("fp", "component_id", "n_links")
     named = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = cut(named, "components")  # its own exchange below: a join that may be split where copies are many
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    named = cut(named.join(reps.select("fp", "copies"), "fp"), "components")
+    return joined_copies(fps, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def joined_copies(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined to named (a row for each key, `copies` telling how many rows it has).  Keys
+    of many copies are broadcast: as each has over 1 / HOT of all rows, they are HOT at
+    most.  The others have few rows each and are shuffled."""
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") > max(HOT_COPIES, total // HOT)
+    often = F.broadcast(named.where(hot).drop("copies"))
+    few = rows.join(F.broadcast(named.where(hot).select(key)), key, "left_anti").join(named.where(~hot).drop("copies"), key)
+    return rows.join(often, key).unionByName(few)
 
 
 def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -134,7 +161,8 @@ def representatives(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
 
 def named(docs: DataFrame, near: DataFrame) -> DataFrame:
     """The rows of docs that name a component in near (doc_id, component_id); see above."""
-    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    one = named.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__rn = 1").drop("__rn")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name in it clashes
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
+    one = rows.where("k is not null").join(keep, "k", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where("n = 1")
+    return one.select("row").unionAll(rows.where("k is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

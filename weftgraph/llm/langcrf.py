@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, ship, text_bytes
+from .common import chunks, cut, fold, ship, text_bytes
 
 SAMPLE = 120  # training documents for each language, those of the smallest hash
+SAMPLE_BYTES = 2 << 20  # of their text, for each language
+MAX_LANGUAGES = 1000
+MIN_SCORE = 0.5  # least mean posterior with which keep_identified() keeps a text
 LEXICON = 500  # words of each language's lexicon
 HASH_BITS = 17
 GRAMS = (1, 2, 3, 4)
@@ -253,22 +256,27 @@ def _predict(batches, shared, mod: int, rest: int):
         yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(out), "lang_pred": pa.array(langs), "score": pa.array(scores, pa.float64()), "n_switches": pa.array(switches, pa.int64())})
 
 
-def fit(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE) -> dict | None:
+def fit(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict | None:
     """Train on at most `sample` documents for each language, those of the training fold
-    with the smallest hashes of their ids; their number bounds what the driver holds as
-    the languages are few (it refuses more than 1000)."""
+    with the smallest hashes of their ids and texts, and of these on as many as `sample_bytes`
+    of text hold in that order.  That and the number of languages, which may not exceed
+    MAX_LANGUAGES, bound what the driver holds.  Rows without a doc_id are training data;
+    of rows that repeat one is taken."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(fold(F.col("doc_id"), mod) == rest, F.lit(False)))
-    pick = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rn") <= sample)
-    chosen = pick.select("doc_id", "lang").distinct().limit(1000 * sample + 1).collect()
-    if not chosen:
+    marked = labelled.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("size", F.octet_length("text").cast("long"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "h")
+    pick = marked.where(F.col("size") <= sample_bytes).select("lang", "h", "size", "doc_id").distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
+    pick = pick.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= sample_bytes).select("lang", "h")
+    pick = cut(pick, "crf-sample")
+    languages = pick.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if not languages:
         return None
-    ids = {(r["doc_id"], r["lang"]) for r in chosen}
-    if len(chosen) > 1000 * sample:
-        raise ValueError("more than 1000 languages")
-    rows = labelled.where(F.col("doc_id").isin([i for i, _ in ids if i is not None])).select("doc_id", "lang", "text").collect()
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in rows if (r["doc_id"], r["lang"]) in ids})
-    return train([(lang, text) for lang, _, text in rows])
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = marked.select("lang", "h", "doc_id", "text").join(F.broadcast(pick), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    rows = sorted((r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in rows)
+    return train([(lang, text) for lang, _, _, text in rows])
 
 
 def identify(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE) -> DataFrame:
@@ -284,16 +292,21 @@ def identify(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE)
     return text_bytes(docs).mapInArrow(lambda it: _predict(it, shared, mod, rest), "doc_id long, held_out boolean, lang_pred string, score double, n_switches long")
 
 
-def _keep(batches, shared):
+def _keep(batches, shared, languages, min_score: float):
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-        rows = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text")], ["doc_id", "text"])
-        known = [lang != UNKNOWN for out in _predict([rows], shared, 1, 1) for lang in out.column("lang_pred").to_pylist()]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
+        known = [
+            lang != UNKNOWN and score >= min_score and (languages is None or lang in languages)
+            for out in _predict([rows], shared, 1, 1) for lang, score in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())
+        ]
         yield batch.filter(pa.array(known, pa.bool_()))
 
 
-def keep_identified(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose language can be told, with all their columns, in one pass."""
+def keep_identified(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE, languages: list[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted language is one of
+    `languages` (None: any that was learned) with a score of `min_score` or more, in one
+    pass.  Null texts and texts without a letter go; an empty table stays empty."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, mod, rest, sample))
-    return docs.mapInArrow(lambda it: _keep(it, shared), docs.schema)
+    return docs.mapInArrow(lambda it: _keep(it, shared, languages, min_score), docs.schema)

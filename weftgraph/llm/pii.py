@@ -19,6 +19,9 @@ NEAR = 120  # code points on either side of an entity that count as near it
 MIN_DOCS, MIN_SHARE, MIN_BITS, MIN_TERM = 3, 0.8, 6.0, 4
 KINDS = ("email", "ip", "card", "phone", "term")
 SPAN = "struct<s:int,o:int,e:int,v:string>"
+BLOCK = 1024  # code points; see blocks()
+BESIDE = 80  # spans on either side that are held against a term; see contexts()
+FAR = (1 << 31) - 1
 
 #: The matches of the base patterns, found in linear time: no match starts inside a run
 #: that an earlier start would have taken, and quantifiers that nothing follows are
@@ -36,17 +39,37 @@ def empty() -> Column:
     return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
+def scan(a: Column, join) -> Column:
+    """Running totals of an array under an associative function, in log2(n) passes: an
+    array that grows by one element a step would be copied as often as it has elements."""
+    steps = F.when(F.size(a) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    far = lambda acc, i, k: F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, a, lambda acc, k: F.transform(acc, lambda x, i: F.when(far(acc, i, k).isNotNull(), join(far(acc, i, k), x)).otherwise(x)))
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK code points; stretch() and its callers reach into a long
+    text by these, as counting code points from its start would take as long as it is."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def stretch(parts: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text given by its blocks."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    within = F.substring(block(i), start - i * BLOCK + 1, end - start)
+    across = F.concat(F.substring(block(i), start - i * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(block(j), F.lit(1), end - j * BLOCK))
+    return F.when(i == j, within).otherwise(across)
+
+
 def spans(text: Column, pattern: str, order: int) -> Column:
     """All matches of a pattern as structs (s, o, e, v): code points, kind, text.  The
     stretches between the matches give their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["0"]) + F.length(x["1"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["0"])).alias("s"), F.lit(order).alias("o"), (a["at"] + F.length(x["0"]) + F.length(x["1"])).alias("e"), x["1"].alias("v")))).alias("out"),
-    )
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("0"), m.alias("1")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda a: a["out"])).otherwise(empty())
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("e"), F.length(m).alias("n"), m.alias("v")))
+    total = scan(pairs, lambda a, x: F.struct((a["e"] + x["e"]).alias("e"), x["n"].alias("n"), x["v"].alias("v")))
+    return F.when(F.size(found) > 0, F.transform(total, lambda x: F.struct((x["e"] - x["n"]).alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), x["v"].alias("v")))).otherwise(empty())
 
 
 def digits(v: Column) -> Column:
@@ -101,18 +124,23 @@ def terms(t: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """Distinct (entity, term) for each term near a base span and in none."""
-    one = found.where(F.size("base") > 0).select("t", "base", F.explode("base").alias("b"))
-    start = F.greatest(F.col("b.s") - NEAR, F.lit(0))
-    one = one.select("base", entities(F.col("b")).alias("entities"), start.alias("l0"), F.substring(F.col("t"), start + 1, F.col("b.s") - start).alias("left"), F.col("b.e").alias("r0"), F.substring(F.col("t"), F.col("b.e") + 1, F.lit(NEAR)).alias("right"), F.length("t").alias("n"))
+    """Distinct (entity, term) for each term near a base span and in none of the BESIDE spans
+    on either side of that one (more do not fit in its surroundings)."""
+    n = F.col("n")
+
+    def one(b, i):
+        l0, r1 = F.greatest(b["s"] - NEAR, F.lit(0)), F.least(b["e"] + NEAR, n)
+        beside = F.filter(F.slice("base", F.greatest(i - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE + 1)), lambda x: (x["s"] < r1) & (x["e"] > l0))
+        return F.struct(entities(b).alias("entities"), beside.alias("beside"), l0.alias("l0"), stretch(F.col("parts"), l0, b["s"]).alias("left"), b["e"].alias("r0"), stretch(F.col("parts"), b["e"], r1).alias("right"), n.alias("n"))
+
+    near = found.select("base", blocks(F.col("t")).alias("parts"), F.length("t").alias("n")).select(F.explode(F.transform("base", one)).alias("c")).select("c.*")
     # a word that the edge of the stretch cuts is not whole, unless the text ends there
     left = F.filter(spans(F.col("left"), TERM, 4), lambda x: (x["s"] > 0) | (F.col("l0") == 0))
     right = F.filter(spans(F.col("right"), TERM, 4), lambda x: (x["e"] < NEAR) | (F.col("r0") + x["e"] >= F.col("n")))
-    move = lambda a, by: F.transform(a, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), F.lower(x["v"]).alias("v")))
-    near = one.select("entities", "base", F.explode(F.concat(move(left, F.col("l0")), move(right, F.col("r0")))).alias("x"))
-    free = ~F.exists("base", lambda b: (F.col("x.s") < b["e"]) & (F.col("x.e") > b["s"]))
-    near = near.where((F.length("x.v") >= MIN_TERM) & F.col("x.v").rlike(r"\p{L}") & free)
-    return near.select(F.explode("entities").alias("entity"), F.col("x.v").alias("term")).distinct()
+    free = lambda s, e: ~F.exists("beside", lambda b: (s < b["e"]) & (e > b["s"]))
+    good = lambda a, by: F.transform(F.filter(a, lambda x: (F.length(x["v"]) >= MIN_TERM) & x["v"].rlike(r"\p{L}") & free(x["s"] + by, x["e"] + by)), lambda x: F.lower(x["v"]))
+    near = near.select("entities", F.explode(F.array_distinct(F.concat(good(left, F.col("l0")), good(right, F.col("r0"))))).alias("term"))
+    return near.select(F.explode("entities").alias("entity"), "term").distinct()
 
 
 def revealing(docs: DataFrame) -> DataFrame:
@@ -139,17 +167,14 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
 def places(text: Column, names: Column, base: Column) -> Column:
     """Spans of the terms in `names`, wherever they stand outside base spans."""
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), 1, F.size(found)), found, lambda g, m: F.struct(g.alias("0"), m.alias("1")))
-
-    def step(a, x):
-        s = a["at"] + F.length(x["0"])
-        e, v = s + F.length(x["1"]), F.lower(x["1"])
-        free = ~F.exists(base, lambda b: (s < b["e"]) & (e > b["s"]))
-        here = F.array(F.struct(s.alias("s"), F.lit(4).alias("o"), e.alias("e"), v.alias("v")))
-        return F.struct(e.alias("at"), F.when(F.array_contains(names, v) & free, F.concat(a["out"], here)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda a: a["out"])
+    terms = F.filter(F.transform(spans(text, TERM, 4), lambda x: x.withField("v", F.lower(x["v"]))), lambda x: F.array_contains(names, x["v"]))
+    # sorted among the base spans, a term overlaps one if the furthest end before it lies
+    # beyond its start or the next base span starts before its end
+    both = F.array_sort(F.concat(base, terms))
+    reach = scan(F.transform(both, lambda x: F.when(x["o"] < 4, x["e"]).otherwise(0)), F.greatest)
+    ahead = F.reverse(scan(F.reverse(F.transform(both, lambda x: F.when(x["o"] < 4, x["s"]).otherwise(FAR))), F.least))
+    free = F.transform(both, lambda x, i: F.when((x["o"] == 4) & (F.get(reach, i) <= x["s"]) & (F.get(ahead, i) >= x["e"]), x))
+    return F.when(F.size(terms) > 0, F.array_compact(free)).otherwise(empty())
 
 
 def joined(x: Column) -> Column:
@@ -191,11 +216,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     marked = marked.withColumn("k", F.xxhash64("doc_id", "_t")).withColumn("base", base_spans(F.col("_t")))
     full = with_terms(marked, docs, "_t").withColumn("_all", F.sort_array(F.concat("base", "terms")))
     tag = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["o"] + 1)), F.lit("]"))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["e"]).alias("at"),
-        F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, x["s"] - a["at"]), tag(x))).otherwise(a["out"]).alias("out"),
+    # a span that starts before the furthest end so far belongs to the stretch of an earlier
+    reach = scan(F.transform("_all", lambda x: x["e"]), F.greatest)
+    full = full.withColumn("_parts", F.when(F.size("_all") > 0, blocks(F.col("_t")))).withColumn("_reach", reach)
+    heads = F.array_compact(F.transform("_all", lambda x, i: F.when((i == 0) | (x["s"] >= F.get("_reach", i - 1)), F.struct(x["s"].alias("s"), F.when(i > 0, F.get("_reach", i - 1)).otherwise(0).alias("at"), x["o"].alias("o")))))
+    clean = F.concat(
+        F.array_join(F.transform(heads, lambda x: F.concat(stretch(F.col("_parts"), x["at"], x["s"]), tag(x))), ""),
+        stretch(F.col("_parts"), F.element_at("_reach", -1), F.length("_t")),
     )
-    clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, F.length("_t"))))
     new = {"text": F.when(F.size("_all") > 0, clean).otherwise(F.col("row.text"))}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.size("_all") > 0, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))

@@ -7,7 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, shared_path, shared_root, ship  # noqa: F401
+from ..shared import cut, discard, shared_path, shared_root, ship  # noqa: F401
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, first_uid, shared_path, ship, text_bytes
+from .common import chunks, cut, discard, first_uid, shared_path, ship, text_bytes
 from .files import read_whole, write_whole
 from .tokens import crc32_u32, encoder, public_path
 
@@ -143,7 +143,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
     ship(spark)
     folder = shared_path(spark, "token-ids")
     width = encoder(path).dtype.itemsize
-    coded = cut(text_bytes(docs).mapInArrow(lambda it: _encode(it, path, end), "doc_id long, ids binary, seen binary"), "token-cut")
+    coded = cut(text_bytes(docs).mapInArrow(lambda it: _encode(it, path, end), "doc_id long, ids binary, seen binary"), "token-cut", "zstd")
     totals = coded.where("seen is not null").select("seen").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = totals["id"].to_numpy(), totals["n"].to_numpy()
     write_whole(folder, RANKS, ids[np.lexsort((ids, -n))].astype("<u4").tobytes())
@@ -151,6 +151,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
     rows = coded.where("seen is null").select("doc_id", "ids")
     written = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _write(it, folder, width), "part int, n long")
     sizes = sorted((r["part"], r["n"]) for r in written.collect())
+    discard(coded)
     before = np.cumsum([0, *(n for _, n in sizes)])[:-1]
     write_whole(folder, BEFORE, np.array([(p, b) for (p, _), b in zip(sizes, before)], "<i8").tobytes())
     return folder

@@ -265,8 +265,13 @@ def fit(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int = SAMPLE, samp
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(fold(F.col("doc_id"), mod) == rest, F.lit(False)))
     marked = labelled.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("size", F.octet_length("text").cast("long"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "h")
-    pick = marked.where(F.col("size") <= sample_bytes).select("lang", "h", "size", "doc_id").distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
+    fits = marked.where(F.col("size") <= sample_bytes).select("lang", "h", "size")
+    # hashes that can be among the smallest, by the language's number of rows; no language's
+    # rows meet in one task
+    rows = F.broadcast(fits.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1))
+    small = F.shiftrightunsigned("h", 11) / float(1 << 53) < F.lit(16.0 * sample) / F.col("rows")
+    order = Window.partitionBy("lang").orderBy("place")
+    pick = fits.join(rows, "lang").where(small).select("lang", "h", "size", F.shiftrightunsigned("h", 1).alias("place")).distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
     pick = pick.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= sample_bytes).select("lang", "h")
     pick = cut(pick, "crf-sample")
     languages = pick.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()

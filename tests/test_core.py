@@ -100,9 +100,14 @@ def test_lanes():
     assert partition.lanes([(0, 2), (0, 3), (2, 4)]) == [0, 1, 0]
 
 
-def test_fill_and_globals():
-    given_ = {"param1": 1, "param2": "2", "param1.param2": True, "param4": {"what": "hi"}}
-    assert prepare.fill("~param1 ~{param2} ~{param1.param2} ~{param4.what} ~~", given_) == "1 2 True hi ~"
+def test_fill_and_globals(spark):
+    given_ = {"beam": 12, "beam_width": "3.5", "band.upper": False, "host": {"name": "n7"}}
+    template = "~beam/~{beam_width} ~beam_width ~{band.upper} ~{host.name} ~~beam ~{beam}x"
+    assert prepare.fill(template, given_) == "12/3.5 3.5 False n7 ~beam 12x"
+    df = spark.createDataFrame([(template,), ("plain",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(prepare.fill_column(F.col("s"), given_)).collect()] == ["12/3.5 3.5 False n7 ~beam 12x", "plain", "", None]
+    with pytest.raises(Exception, match="no parameter nope"):
+        spark.createDataFrame([("~nope",)], "s string").select(prepare.fill_column(F.col("s"), given_)).collect()
     with pytest.raises(KeyError):
         prepare.fill("~nope", given_)
     g = {"nodeDataArray": [{"id": "g", "category": "GlobalVariables", "fields": [{"name": "n", "type": "Integer", "value": "4"}]}, {"id": "x", "fields": [{"name": "a", "value": "{n}"}, {"name": "b", "value": "k{n}"}]}], "linkDataArray": []}
@@ -164,6 +169,9 @@ def test_provenance(spark):
 def test_checksums(spark):
     assert checksums.crc32c(b"123456789") == 0xE3069283
     assert checksums.crc32c(b"6789", checksums.crc32c(b"12345")) == 0xE3069283
+    rnd = random.Random(3)
+    values = [None, b"", b"123456789", *(rnd.randbytes(rnd.choice([1, 7, 300])) for _ in range(60)), rnd.randbytes(5000)]
+    assert checksums.crc32c_all(values) == [None if v is None else checksums.crc32c(v) for v in values]
     df = spark.createDataFrame([("a", 1, bytearray(b"world")), ("a", 0, bytearray(b"hello "))], "uid string, seq long, chunk binary")
     assert checksums.running_crc(df, "uid", "seq", "chunk").first()["crc"] == zlib.crc32(b"hello world")
     assert bytes(stores.chunks_of(df, "uid", "seq", "chunk").first()["content"]) == b"hello world"

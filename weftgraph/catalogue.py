@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import checksums, scalars
+from .functions import apps, checksums, scalars
 from .operators import arrays, gating, graph, lifecycle, provenance, relational
 from .plans import partition, prepare, unroll
+from .shared import shared_path, ship
+from .sources import stores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,20 +42,23 @@ CENTS = "CAST(round({} * 100) AS BIGINT)"
 # ---- arrays
 
 
+def _tiles(spark, d):
+    return arrays.scatter(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 4, ["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem")
 def reduce_gather_sum(spark, d):
-    li = arrays.scatter(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 4, ["l_orderkey", "l_linenumber"])
-    return arrays.reduce_gather(li, "tile", F.col("l_quantity"), "sum").select(F.col("value").cast("long").alias("value"))
+    return arrays.reduce_gather(_tiles(spark, d), "tile", F.col("l_quantity"), "sum").select(F.col("value").cast("long").alias("value"))
 
 
 @query("SELECT CAST(min(l_quantity) AS BIGINT) AS value FROM lineitem")
 def reduce_gather_min(spark, d):
-    return arrays.reduce_gather(t(spark, d, "lineitem"), "l_linenumber", F.col("l_quantity"), "min").select(F.col("value").cast("long").alias("value"))
+    return arrays.reduce_gather(_tiles(spark, d), "tile", F.col("l_quantity"), "min").select(F.col("value").cast("long").alias("value"))
 
 
 @query("SELECT CAST(max(l_quantity) AS BIGINT) AS value FROM lineitem")
 def reduce_gather_max(spark, d):
-    return arrays.reduce_gather(t(spark, d, "lineitem"), "l_linenumber", F.col("l_quantity"), "max").select(F.col("value").cast("long").alias("value"))
+    return arrays.reduce_gather(_tiles(spark, d), "tile", F.col("l_quantity"), "max").select(F.col("value").cast("long").alias("value"))
 
 
 @query("SELECT CAST(product(n_regionkey + 1) AS DOUBLE) AS value FROM nation")
@@ -94,7 +99,10 @@ def gather_concat(spark, d):
 
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def copy_all(spark, d):
-    return arrays.concat(t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), t(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).drop("input_no")
+    both = arrays.concat(t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), t(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")))
+    to = shared_path(spark, "copies")
+    stores.copy(both.drop("input_no"), to)
+    return spark.read.parquet(to)
 
 
 @query("SELECT n_nationkey, k, v FROM (SELECT n_nationkey, 'nation' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, 'source', 'tpch' FROM nation)")
@@ -154,7 +162,7 @@ def average_elementwise(spark, d):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def pick_one(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return arrays.pick_first(t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"])
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn > 1")
@@ -187,12 +195,12 @@ def groupby_corner_turn(spark, d):
 
 @query("SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def groupby_multikey(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"))
+    return unroll.corner_turn(t(spark, d, "lineitem"), ["l_linenumber", "l_returnflag"], F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag, count(*) AS n_groups, max(n) AS largest FROM (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def groupby_chain(spark, d):
-    return groupby_multikey(spark, d).groupBy("l_returnflag").agg(F.count("*").alias("n_groups"), F.max("n").alias("largest"))
+    return unroll.corner_turn(groupby_multikey(spark, d), "l_returnflag", F.count("*").alias("n_groups"), F.max("n").alias("largest"))
 
 
 @query("SELECT k, CAST(row_number() OVER (ORDER BY CAST(k AS VARCHAR)) - 1 AS INTEGER) AS target FROM (SELECT DISTINCT n_nationkey AS k FROM nation)")
@@ -539,7 +547,8 @@ def string2json(spark, d):
 
 @query("SELECT CAST(i AS BIGINT) AS id FROM generate_series(3, 99, 4) AS t(i)")
 def create_range(spark, d):
-    return spark.range(3, 100, 4)
+    made = apps.call(apps.REGISTRY["create_range"].function, {}, {"low": 3, "high": 100, "step": 4})
+    return spark.createDataFrame([(i,) for i in made], "id long")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size IS NULL THEN NULL ELSE greatest(CAST(p_size AS BIGINT), p_partkey) END AS top FROM part")
@@ -567,10 +576,8 @@ def checksum_crc32(spark, d):
 
 @query()
 def checksum_crc32c(spark, d):
-    from .shared import ship
-
     ship(spark)
-    return t(spark, d, "nation").select("n_nationkey", checksums.crc32c_udf(F.col("n_name").cast("binary")).alias("crc"))
+    return t(spark, d, "documents").select("doc_id", checksums.crc32c_udf(F.col("text").cast("binary")).alias("crc"))
 
 
 @query()

@@ -41,10 +41,13 @@ def fill(template: str, parameters: dict) -> str:
 
 
 def fill_column(c: Column, parameters: dict) -> Column:
-    """fill() over a column, for names that are there."""
-    for k, v in sorted(flatten(parameters).items(), key=lambda x: -len(x[0])):
-        c = F.replace(F.replace(c, F.lit(f"~{{{k}}}"), F.lit(str(v))), F.lit(f"~{k}"), F.lit(str(v)))
-    return c
+    """fill() over a column; an unknown name fails the query."""
+    values = F.create_map(*[F.lit(x) for k, v in flatten(parameters).items() for x in (k, str(v))]) if parameters else F.expr("cast(map() as map<string, string>)")
+    # text and names by turns: the parts between names, and the names that follow them
+    named = F.transform(F.regexp_extract_all(c, F.lit(f"({_PARAMETER.pattern})"), F.lit(1)), lambda x: F.regexp_replace(x, r"^~\{?|\}$", ""))
+    between = F.split(c, _PARAMETER.pattern, -1)
+    known = lambda x: F.when((x == "") | (x == "~"), "~").when(F.map_contains_key(values, x), values[x]).otherwise(F.raise_error(F.concat(F.lit("no parameter "), x)))
+    return F.array_join(F.zip_with(between, named, lambda t, n: F.concat(t, F.when(n.isNull(), "").otherwise(known(n)))), "")
 
 
 def fields_of(node: dict) -> dict:

@@ -54,9 +54,10 @@ class Session:
         return out
 
     def status(self, events: DataFrame) -> DataFrame:
-        """(uid, status): the latest event of each drop of this session."""
+        """(uid, status): the latest event of each drop of this session; of equal times the
+        status that comes last by name."""
         own = events.where(F.col("session_id") == self.session_id)
-        return own.groupBy("uid").agg(F.max_by("status", "ts").alias("status"))
+        return own.groupBy("uid").agg(F.max(F.struct("ts", "status")).alias("m")).select("uid", "m.status")
 
     def cancel(self) -> None:
         self.state = SessionState.CANCELLED

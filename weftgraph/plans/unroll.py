@@ -281,9 +281,9 @@ def gather_rows(df: DataFrame, idx: str, width: int, *aggs: Column) -> DataFrame
     return df.groupBy(F.floor(F.col(idx) / width).cast("long").alias("gather")).agg(*aggs)
 
 
-def corner_turn(df: DataFrame, inner: str, *aggs: Column) -> DataFrame:
-    """[outer][inner] regrouped by inner."""
-    return df.groupBy(inner).agg(*aggs)
+def corner_turn(df: DataFrame, inner: str | list[str], *aggs: Column) -> DataFrame:
+    """[outer][inner] regrouped by inner, by one key or several."""
+    return df.groupBy(*([inner] if isinstance(inner, str) else inner)).agg(*aggs)
 
 
 def group_order(keys: DataFrame, key: str) -> DataFrame:

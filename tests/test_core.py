@@ -246,7 +246,10 @@ def test_gather_sequence_and_services(spark):
     assert [r["waits_for"] for r in unroll.sequence_gathers(pairs, 2).orderBy("src_idx").collect()] == [None, None, 0, 0, 1]
     n = unroll.Node
     g = unroll.LogicalGraph([n("s", "svc", "Service"), n("a", "app", "PythonApp"), n("b", "out", "File", None, "data")], [unroll.Link("s", "a"), unroll.Link("a", "b")])
-    assert [x.src for x in unroll.without_services(g)] == ["a"]
+    assert [x.src for x in g.links] == ["a"]
+    old = {"nodeDataArray": [{"key": -1, "text": "many", "category": "Scatter"}, {"key": -2, "text": "app", "category": "PythonApp", "group": -1}], "linkDataArray": []}
+    g = unroll.LogicalGraph.from_json(prepare.prepared(old))
+    assert g.nodes["-2"].parent == "-1" and g.dops(g.nodes["-2"]) == [unroll.DEFAULT_COPIES]
 
 
 def test_command_line(tmp_path, capsys, spark):

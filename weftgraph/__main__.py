@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     from pyspark.sql import functions as F
 
-    nodes, edges = expand(_spark(), LogicalGraph.from_json(prepare.substitute_globals(prepare.apply_configuration(a.graph))))
+    nodes, edges = expand(_spark(), LogicalGraph.from_json(prepare.prepared(a.graph)))
     out = {"nodes": nodes, "edges": edges}
     if a.what != "unroll":
         one = F.lit("s").alias("session_id")

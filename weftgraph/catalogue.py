@@ -256,6 +256,43 @@ def unroll_edges(spark, d):
     return unroll.unroll(spark, _nested())[1].select("src", "dst")
 
 
+@query("SELECT 's_a_0-' || j AS src, 's_d_0-' || j AS dst FROM generate_series(0, 2) AS t(j) UNION ALL SELECT 's_d_0-' || j, 's_a_0-' || (j + 1) FROM generate_series(0, 1) AS t(j) UNION ALL SELECT 's_d_0-2', 's_o_0' UNION ALL SELECT 's_i_0', 's_a_0-0'")
+def unroll_loop(spark, d):
+    n, x = unroll.Node, unroll.Link
+    g = unroll.LogicalGraph(
+        [n("l", "loop", "Loop", fields={"num_of_iter": 3}), n("a", "app", "PythonApp", "l", start=True), n("d", "data", "File", "l", "data", end=True), n("o", "out", "PythonApp"), n("i", "in", "File", None, "data")],
+        [x("a", "d"), x("d", "a"), x("d", "o", loop_aware=True), x("i", "a", loop_aware=True)],
+    )
+    return unroll.unroll(spark, g)[1].select("src", "dst")
+
+
+@query("SELECT 's_d_0-' || x || '-' || y || '-' || z AS src, 's_a_0-' || (x * 4 + z) AS dst FROM generate_series(0, 1) AS a(x), generate_series(0, 2) AS b(y), generate_series(0, 3) AS c(z)")
+def unroll_groupby(spark, d):
+    n = unroll.Node
+    g = unroll.LogicalGraph(
+        [n("o", "outer", "Scatter", fields={"num_of_copies": 2}), n("i", "inner", "Scatter", "o", fields={"num_of_copies": 3}), n("j", "innermost", "Scatter", "i", fields={"num_of_copies": 4}), n("d", "data", "File", "j", "data"),
+         n("b", "by", "GroupBy", fields={"group_key": "o,j"}), n("a", "app", "PythonApp", "b")],
+        [unroll.Link("d", "a")],
+    )
+    return unroll.unroll(spark, g)[1].select("src", "dst")
+
+
+@query("SELECT 's_a_0-' || i AS src, 's_b_0-' || i AS dst FROM generate_series(0, 2) AS t(i)")
+def unroll_service(spark, d):
+    n, x = unroll.Node, unroll.Link
+    g = unroll.LogicalGraph([n("v", "service", "Service"), n("s", "scatter", "Scatter", fields={"num_of_copies": 3}), n("a", "app", "PythonApp", "s"), n("b", "out", "File", "s", "data")], [x("v", "a"), x("a", "b")])
+    return unroll.unroll(spark, g)[1].select("src", "dst")
+
+
+@query("SELECT * FROM (VALUES ('sub', 's_sub_0'), ('out', 's_out_0')) AS t(lg_key, oid)")
+def unroll_subgraph(spark, d):
+    made = {
+        "nodeDataArray": [{"id": "sub", "category": "SubGraph", "fields": []}, {"id": "in", "category": "PythonApp", "parentId": "sub", "fields": []}, {"id": "out", "category": "File", "categoryType": "Data", "fields": []}],
+        "linkDataArray": [{"from": "in", "to": "out"}, {"from": "sub", "to": "out"}],
+    }
+    return unroll.unroll_nodes(spark, unroll.LogicalGraph.from_json(prepare.prepared(made))).select("lg_key", "oid")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
 def branch_true(spark, d):
     return gating.branch(t(spark, d, "orders"), F.col("o_totalprice") > 100000)[0].select("o_orderkey")

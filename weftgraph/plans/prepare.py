@@ -150,6 +150,15 @@ def convert_legacy(graph: dict) -> dict:
     return graph
 
 
+def prepared(source, configuration: str | None = None) -> dict:
+    """A logical graph ready to be unrolled: an old one converted, its configuration and
+    global variables put in, and sub-graphs cut out."""
+    graph = load(source)
+    if version(graph) == "legacy":
+        graph = convert_legacy(graph)
+    return split_subgraphs(substitute_globals(apply_configuration(graph, configuration)))
+
+
 def bind_parameters(command: str, physical: dict[str, str]) -> str:
     """Logical ids %i[id] and %o[id] of a command replaced by physical ones."""
     return re.sub(r"%([io])\[([^\]]+)\]", lambda m: f"%{m[1]}[{physical.get(m[2], m[2])}]", command)

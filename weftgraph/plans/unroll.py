@@ -76,6 +76,7 @@ class LogicalGraph:
         kept = [n for n in nodes if n.category not in DROPPED]
         self.nodes = {n.id: n for n in kept}
         self.links = [x for x in links if x.src in self.nodes and x.dst in self.nodes]
+        self.links = without_services(self)
         self._dop: dict[str, int] = {}
         self.validate()
 

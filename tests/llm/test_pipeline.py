@@ -1,4 +1,9 @@
+import random
+import tracemalloc
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_neardup import brute as near_copies
 
@@ -63,3 +68,19 @@ def test_clashing_columns(spark):
         got = stage(spark, wide, SF)
         assert got.columns == wide.columns and {tuple(r) for r in got.select(names).distinct().collect()} == {tuple(range(len(names)))}, name
     assert simhash.representatives(wide).columns == wide.columns
+
+
+def test_language_stage_in_little_memory():
+    """What a Python worker takes does not follow the size of a batch of texts."""
+    rng, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=600)) + "." for _ in range(700)]
+    n = 4
+    model = {"languages": list("abcd"), "weight": np.random.default_rng(1).normal(0, 0.1, (1 << langcrf.HASH_BITS, n)).astype(np.float32), "lex": np.zeros((n, n)), "trans": np.eye(n), "lexicon": {}}
+    batch = pa.record_batch({"text": pa.array([t.encode() for t in texts], pa.binary())})
+    shared = type("Shared", (), {"value": model})
+    tracemalloc.start()
+    kept = sum(b.num_rows for b in langcrf._keep(iter([batch]), shared, None, 0.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == 700 and peak < 60 << 20, peak  # 34 MB; 96 by chunks of 2 MB

@@ -29,7 +29,9 @@ HASH_BITS = 17
 GRAMS = (1, 2, 3, 4)
 EPOCHS, RATE, DECAY = 4, 0.25, 1e-6
 KEEP = 200_000
-CHUNK = 2 << 20
+CHUNK = 512 << 10  # small, as what a chunk takes is some 100 times its bytes
+CELLS = 100_000  # words, padding included, of the chains that are run together
+LEARN = 4096  # words whose features are made together
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _process: dict = {}
@@ -83,7 +85,7 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tr
     while a < len(order):
         longest = sizes[order[a]]
         b = a + int(np.searchsorted(-sizes[order[a:]], -max(1, longest * 3 // 4), side="right"))
-        b = min(b, a + max(1, 400_000 // max(1, longest)))
+        b = min(b, a + max(1, CELLS // max(1, longest)))
         group = order[a:b]
         a = b
         length = sizes[group]
@@ -195,11 +197,13 @@ class Tagger:
 
     def learn(self, new: list[str]) -> None:
         m = self.model
-        feats, begin = features(new)
-        member = np.array([[(m["lexicon"].get(w, 0) >> k) & 1 for k in range(len(m["languages"]))] for w in new], float)
-        scores = np.add.reduceat(m["weight"][feats], begin).astype(float) + member @ m["lex"]
+        held = [self.emit]
+        for part in (new[a : a + LEARN] for a in range(0, len(new), LEARN)):
+            feats, begin = features(part)
+            member = np.array([[(m["lexicon"].get(w, 0) >> k) & 1 for k in range(len(m["languages"]))] for w in part], float)
+            held.append(np.add.reduceat(m["weight"][feats], begin).astype(float) + member @ m["lex"])
         self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        self.emit = np.concatenate([self.emit, scores])
+        self.emit = np.concatenate(held)
         self.letter = np.r_[self.letter, [bool(_LETTER.search(w)) for w in new]]
         self.stop = np.r_[self.stop, [w[-1] in ".!?" for w in new]]
 

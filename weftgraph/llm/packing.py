@@ -20,7 +20,7 @@ from .tokens import crc32_u32, encoder, public_path
 
 LENGTH, LINEAR, QUADRATIC = 1024, 1.0, 1.0 / 1024
 BLOCK = 4096
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

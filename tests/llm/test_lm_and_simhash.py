@@ -92,6 +92,19 @@ def test_ctw_against_brute_force(spark):
         assert got[i]["held_out"] == ctw.held_out(i, 7, 2)
 
 
+def test_ctw_keeps_contexts_of_any_share(spark):
+    """Contexts met twice in over 2**19 bytes count, and grams that aren't broadcast are joined."""
+    texts = ["the cat sat " * 44_000, "zebra quartz", "zebra quartz", "zebra quiz jumps", None]
+    low = [(t or "").encode() for t in texts]
+    ids = [i for i in range(60) if not ctw.held_out(i, 7, 2)][:3] + [i for i in range(60) if ctw.held_out(i, 7, 2)][:2]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df).collect()}
+    few = {r["doc_id"]: r["score"] for r in ctw.score(df, frequent=5).collect()}
+    want = brute_ctw(low[:3], low[1:], ctw.DEPTH, 2)
+    assert all(abs(got[i] - w) < 1e-6 * abs(w) for i, w in zip(ids[1:], want))
+    assert all(abs(got[i] - few[i]) < 1e-9 * abs(got[i]) for i in ids)
+
+
 def test_ctw_is_a_distribution(spark):
     model = ctw.fit(docs(spark, TEXTS))
     for context in (b"the c", b"\xfe\xfe\xfe\xfe\xfe", b"qzqzq"):

@@ -1,5 +1,6 @@
 import random
 import tracemalloc
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from test_neardup import brute as near_copies
 
-from weftgraph.llm import decontam, langcrf, pii, simhash
+from weftgraph.llm import common, decontam, langcrf, pii, simhash
 from weftgraph.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +85,42 @@ def test_language_stage_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert kept == 700 and peak < 60 << 20, peak  # 34 MB; 96 by chunks of 2 MB
+
+
+def test_stages_hand_over_small_batches(spark):
+    """By rows alone, 400 long texts are one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 8000).alias("text"))
+    few = spark.createDataFrame([(1, "one two three four five six", "en"), (2, "un deux trois quatre cinq", "fr")], "doc_id long, text string, lang string")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes], pa.int64())})
+
+    most = lambda: long.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    spark.conf.unset(key)
+    assert most() > 15 << 20
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "sanitisation":  # which has no Python workers
+            spark.conf.unset(key)
+            stage(spark, few, SF)
+            assert most() <= common.BATCH_BYTES + 50_000, name
+    spark.conf.set(key, "1000000")
+    corpus_pipeline.pack(spark, few, SF)
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
+
+
+def test_worker_gives_memory_back():
+    """What a task has freed leaves the process, though a block above it is still in use."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    last, seen = [], []
+
+    def rows():
+        held = [b"x" * (50_000 + i) for i in range(2000)]
+        last.append(held.pop())
+        yield len(held)
+        del held
+        seen.append(resident())
+
+    assert list(common.trimmed(rows())) == [1999] and seen[0] - resident() > 50 << 20

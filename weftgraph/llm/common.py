@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from ..shared import cut, discard, shared_path, shared_root, ship  # noqa: F401
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 2 << 20  # of the batches in which rows go to a Python worker; see small_batches()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +43,27 @@ def first_uid() -> int:
     return (ctx.partitionId() if ctx else 0) << 33
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Unless the session has a limit of its own, its Arrow batches have BATCH_BYTES from now
+    on.  By rows alone 10,000 whole texts are a batch, often all that a task reads; its
+    buffers grow by doubling outside the JVM's heap, and once more in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trimmed(rows):
+    """The same rows; after the last, what was freed goes back to the system.  An idle worker
+    would keep it for a minute beside what the JVM runs next."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+
 def chunks(batches, byte_limit: int):
     """Split Arrow batches with columns doc_id, text into (ids, utf-8 texts) lists of
     at most byte_limit bytes (or one text); a null text counts as empty."""

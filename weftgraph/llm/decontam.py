@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, text_bytes
+from .common import chunks, ship, text_bytes, trimmed
 
 SIMILARITY = 0.8
 MIN_WORDS = 1  # items of under 5 words have no edit budget: they match exactly
@@ -232,5 +232,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = S
     columns, in one pass a block.  Null texts match nothing and stay."""
     ship(docs.sparkSession)
     for shared in blocks_of(benchmark, similarity, block_bytes, min_words):
-        docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s), docs.schema)
+        docs = docs.mapInArrow(lambda it, s=shared: trimmed(_clean(it, s)), docs.schema)
     return docs

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fold, ship, text_bytes
+from .common import chunks, cut, fold, ship, text_bytes, trimmed
 
 SAMPLE = 120  # training documents for each language, those of the smallest hash
 SAMPLE_BYTES = 2 << 20  # of their text, for each language
@@ -318,4 +318,4 @@ def keep_identified(docs: DataFrame, mod: int = 4, rest: int = 2, sample: int =
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, mod, rest, sample))
-    return docs.mapInArrow(lambda it: _keep(it, shared, languages, min_score), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(_keep(it, shared, languages, min_score)), docs.schema)

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftgraph.llm import packing, tokenbin, tokens
+from weftgraph.llm import common, packing, tokenbin, tokens
 from weftgraph.llm.tokens import Encoder, public_path
 
 TEXTS = ["Hello world, it's fine.", None, "", " ", "a  b", " lead", "trail ", "x \n y\n\n  z", "don't. x's! 'll", "<|endoftext|> a<|endoftext|>", "über ñandú 12,5 $$$", "long" * 4000, "word " * 3000, "Hello world, it's fine."]
@@ -101,6 +102,39 @@ def test_token_files_edges(spark):
     assert len(both) == 2 * len(TEXTS) and len({r["start"] for r in both}) == len(both)
 
 
+def test_shards_are_coded_in_blocks():
+    ranks = np.random.default_rng(2).integers(0, 1 << 17, tokenbin.SHARD_IDS, np.uint32)
+    tracemalloc.start()
+    control, data = tokenbin.pack(ranks)
+    packed, at = tracemalloc.get_traced_memory()[1], tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    got = tokenbin.unpack(control, data, len(ranks))
+    unpacked = tracemalloc.get_traced_memory()[1] - at
+    tracemalloc.stop()
+    assert np.array_equal(got, ranks)
+    assert packed < 24 << 20 and unpacked < 16 << 20, (packed, unpacked)
+
+
+def test_token_files_pass_through_workers_in_small_parts(spark):
+    """Arrow batches are bounded by bytes, and the JVM hands on the shards' names alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rows = tokenbin.round_trip(docs(spark, TEXTS))
+    assert int(spark.conf.get(key)) == common.BATCH_BYTES
+    assert "content" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == len(TEXTS)
+    spark.conf.unset(key)
+
+
+def test_encoders_go_before_files_are_written_and_read(tmp_path):
+    folder = f"file://{tmp_path}"
+    tokenbin.write_whole(folder, tokenbin.RANKS, b"")
+    for work in (tokenbin._write(iter([]), folder, 2), tokenbin._read(iter([]), folder)):
+        tokens.encoder(public_path())
+        list(work)
+        assert not tokens._encoders
+
+
 def test_packing(spark, tokenizer):
     rows = packing.pack(docs(spark, TEXTS)).collect()
     by_doc, by_seq = {}, {}

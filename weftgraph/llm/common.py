@@ -52,16 +52,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def trimmed(rows):
     """The same rows; after the last, what was freed goes back to the system.  An idle worker
     would keep it for a minute beside what the JVM runs next."""
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        give_back()
 
 
 def chunks(batches, byte_limit: int):

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, discard, first_uid, shared_path, ship, text_bytes
+from .common import chunks, cut, discard, first_uid, shared_path, ship, small_batches, text_bytes, trimmed
 from .files import read_whole, write_whole
-from .tokens import crc32_u32, encoder, public_path
+from .tokens import crc32_u32, encoder, forget_encoders, public_path
 
 MAGIC, HEAD = b"WTID\x01\x00\x00\x00", struct.Struct("<8sQQQQ")
 SHARD_IDS = 2 << 20
-CHUNK = 4 << 20
+BLOCK = 1 << 16  # ids that are packed or unpacked at once, a multiple of four
+CHUNK = 2 << 20
 RANKS, BEFORE = "_ranks", "_before"
 NO_DOC = -(1 << 63)  # stands for a null doc_id in a shard
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -30,24 +31,30 @@ LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8)
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
-    r = ranks.astype("<u4")
-    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    control, data = [], []
+    for i in range(0, len(ranks), BLOCK):
+        r = ranks[i : i + BLOCK].astype("<u4")
+        size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
+        codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
+        codes[: len(r)] = size - 1
+        control.append((codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes())
+        data.append(r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes())
+    return b"".join(control), b"".join(data)
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks that pack() has coded."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(size > k)
-        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    codes, raw = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
+    out, done = np.empty(n, np.uint32), 0
+    for i in range(0, n, BLOCK):
+        size = LENGTHS[codes[i // 4 : (i + BLOCK) // 4]].reshape(-1)[: n - i].astype(np.int64)
+        ends = np.cumsum(size) + done
+        at, done = ends - size, int(ends[-1])
+        some = raw[at].astype(np.uint32)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(size > k)
+            some[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[i : i + BLOCK] = some
     return out
 
 
@@ -92,6 +99,7 @@ def _tally(batches):
 
 
 def _write(batches, folder: str, width: int):
+    forget_encoders()  # those of the tasks before; nothing is encoded from here on
     dtype, part = np.dtype(f"<u{width}"), first_uid() >> 33
     id_of = np.frombuffer(read_whole(folder, RANKS), "<u4")
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
@@ -120,17 +128,17 @@ def _write(batches, folder: str, width: int):
 
 
 def _read(batches, folder: str):
+    forget_encoders()
     id_of = before_part = None
     for batch in batches:
-        for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+        for name in (path.rpartition("/")[2] for path in batch.column("path").to_pylist()):
             if id_of is None:
                 id_of = np.frombuffer(read_whole(folder, RANKS), "<u4")
                 before_part = dict(np.frombuffer(read_whole(folder, BEFORE), "<i8").reshape(-1, 2).tolist())
-            docs, lengths, ranks, before = read_shard(raw)
-            part = int(name.rpartition("/part-")[2][:6])
+            docs, lengths, ranks, before = read_shard(read_whole(folder, name))
             ids, ends = id_of[ranks], np.cumsum(lengths)
             yield pa.record_batch({
-                "doc_id": pa.array(docs, mask=docs == NO_DOC), "start": pa.array(ends - lengths + before + before_part[part]), "n_tokens": pa.array(lengths),
+                "doc_id": pa.array(docs, mask=docs == NO_DOC), "start": pa.array(ends - lengths + before + before_part[int(name[5:11])]), "n_tokens": pa.array(lengths),
                 "ids_crc32": pa.array([crc32_u32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64()),
             })
 
@@ -141,15 +149,16 @@ def write(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
     by the vocabulary and by the number of shuffle partitions."""
     spark, path = docs.sparkSession, path or public_path()
     ship(spark)
+    small_batches(spark)
     folder = shared_path(spark, "token-ids")
     width = encoder(path).dtype.itemsize
-    coded = cut(text_bytes(docs).mapInArrow(lambda it: _encode(it, path, end), "doc_id long, ids binary, seen binary"), "token-cut", "zstd")
+    coded = cut(text_bytes(docs).mapInArrow(lambda it: trimmed(_encode(it, path, end)), "doc_id long, ids binary, seen binary"), "token-cut", "zstd")
     totals = coded.where("seen is not null").select("seen").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = totals["id"].to_numpy(), totals["n"].to_numpy()
     write_whole(folder, RANKS, ids[np.lexsort((ids, -n))].astype("<u4").tobytes())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = coded.where("seen is null").select("doc_id", "ids")
-    written = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _write(it, folder, width), "part int, n long")
+    written = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: trimmed(_write(it, folder, width)), "part int, n long")
     sizes = sorted((r["part"], r["n"]) for r in written.collect())
     discard(coded)
     before = np.cumsum([0, *(n for _, n in sizes)])[:-1]
@@ -158,10 +167,12 @@ def write(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
 
 
 def read(spark, folder: str) -> DataFrame:
-    """One row per document: doc_id, start (all ids before it), n_tokens, ids_crc32."""
+    """One row per document: doc_id, start (all ids before it), n_tokens, ids_crc32.  Spark
+    lists the shards and deals them out by size; the workers read them, one at a time."""
     ship(spark)
+    small_batches(spark)
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("path", "content").mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path").mapInArrow(lambda it: trimmed(_read(it, folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end: int = 2) -> DataFrame:
